@@ -2,8 +2,8 @@
 
 Near-duplicates are documents whose sets of distinct word shingles have a Jaccard similarity of at least ``threshold``.
 The path is: one pass over the texts makes set fingerprints and signatures; documents of equal sets become one class;
-the classes that share a band bucket are compared with the bucket's smallest member first, then only across the
-components that this left apart; each pair that the signatures let through is confirmed on the full shingle sets.
+each class is compared with the nearest, by signature, of the smallest members of its band buckets, then only across
+the components that this left apart; each pair that the signatures let through is confirmed on the full shingle sets.
 No bucket is ever expanded into all its pairs and nothing but counters reaches the driver.
 """
 
@@ -29,11 +29,11 @@ class NearDup:
     percent: int = 75
     bands: int = 32
     rows: int = 4
-    #: Pairs whose signatures agree in a smaller share are dropped: over six standard deviations under 0.75.
-    floor: float = 0.5
+    #: Pairs whose signatures agree in a smaller share are dropped: of pairs at similarity 0.75 that loses 3 in 100,000.
+    floor: float = 0.6
     #: Partners of one document that are confirmed together, and members of a bucket that are compared together.
     chunk: int = 64
-    block: int = 128
+    block: int = 256
 
 
 SIGNATURES = "doc_id long, n_shingles long, fp1 long, fp2 long, sig binary, bands array<long>"
@@ -90,17 +90,18 @@ def signatures(docs: DataFrame, p: NearDup = NearDup()) -> DataFrame:
 
 
 def _similar(pairs: DataFrame, sigs: DataFrame, p: NearDup) -> DataFrame:
-    """The pairs (a, b) whose signatures agree in a share of at least ``p.floor``."""
+    """The pairs (a, b) whose signatures agree in a share of at least ``p.floor``, and the share."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
             one, two = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint16).reshape(batch.num_rows, -1) for k in (2, 3))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array((one == two).mean(axis=1) >= p.floor))
+            share = (one == two).mean(axis=1)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(share)], names=["a", "b", "share"]).filter(pa.array(share >= p.floor))
 
     left, right = sigs.select(F.col("doc_id").alias("a"), F.col("sig").alias("sa")), sigs.select(F.col("doc_id").alias("b"), F.col("sig").alias("sb"))
-    return pairs.join(right, "b").join(left, "a").select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
+    return pairs.join(right, "b").join(left, "a").select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long, share double")
 
 
 def confirmed(pairs: DataFrame, docs: DataFrame, p: NearDup = NearDup()) -> DataFrame:
@@ -141,46 +142,58 @@ def confirmed(pairs: DataFrame, docs: DataFrame, p: NearDup = NearDup()) -> Data
 
 
 def _across(members: DataFrame, sigs: DataFrame, p: NearDup) -> DataFrame:
-    """Pairs of members of a bucket (key, doc_id, n, comp, size) in different components that the signatures let through.
+    """Pairs of members of a bucket (key, doc_id, n, comp) in different components that the signatures let through.
 
-    A bucket is cut into blocks of about ``p.block`` members; a task compares the signatures of two blocks as a matrix.
+    Pairs within the bucket's largest component are never looked at. The members outside it are cut into blocks, which
+    meet the blocks of all members; a task compares the signatures of two blocks of about ``p.block`` members.
     """
-    bands = members.withColumn("blocks", F.ceil(F.col("size") / p.block).cast("int")).withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
-    dealt = bands.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "doc_id", "n", "comp")
+    counts = members.groupBy("key", "comp").agg(F.count("*").alias("m"))
+    counts = counts.groupBy("key").agg(F.count("*").alias("comps"), F.max(F.struct("m", "comp")).alias("top"), F.sum("m").alias("size")).where("comps > 1")
+    blocks = lambda n: F.ceil(n / p.block).cast("int")
+    counts = counts.select("key", F.col("top.comp").alias("main"), blocks(F.col("top.m")).alias("inner"), blocks(F.col("size") - F.col("top.m")).alias("outer"))
+    dealt = members.join(counts, "key").withColumn("out", F.col("comp") != F.col("main"))
+    own = F.pmod(F.xxhash64("doc_id"), F.when(F.col("out"), F.col("outer")).otherwise(F.col("inner"))).cast("int")
+    dealt = dealt.withColumn("own", F.when(F.col("out"), own).otherwise(F.col("outer") + own))
+    # a block pair is (i, j) with i of the outer blocks and i <= j
+    at = F.transform(F.sequence(F.lit(0), F.col("outer") - 1), lambda i: F.struct(F.least(i, "own").alias("i"), F.greatest(i, "own").alias("j")))
+    beyond = F.transform(F.sequence(F.col("outer"), F.col("outer") + F.col("inner") - 1), lambda j: F.struct(F.col("own").alias("i"), j.alias("j")))
+    dealt = dealt.withColumn("at", F.explode(F.when(F.col("out"), F.concat(at, beyond)).otherwise(at))).select("key", "at.i", "at.j", "own", "doc_id", "n", "comp")
     floor, percent = p.floor, p.percent
 
-    def pairs(rows: list) -> tuple[np.ndarray, np.ndarray]:
+    def pairs(rows: list) -> list[tuple[np.ndarray, np.ndarray]]:
         own, ids, n, comp = (np.array([r[k] for r in rows], dtype=np.int64) for k in range(4))
         sig = np.frombuffer(b"".join(r[4] for r in rows), np.uint16).reshape(len(rows), -1)
-        left = np.flatnonzero(own == own.min())
-        right = np.flatnonzero(own == own.max())
-        ok = (comp[left][:, None] != comp[right][None, :]) & (100 * np.minimum(n[left][:, None], n[right][None, :]) >= percent * np.maximum(n[left][:, None], n[right][None, :]))
-        x, y = np.nonzero(ok)
-        x, y = left[x], right[y]
-        near = (sig[x] == sig[y]).mean(axis=1) >= floor if len(x) else np.zeros(0, bool)
-        return np.minimum(ids[x[near]], ids[y[near]]), np.maximum(ids[x[near]], ids[y[near]])
+        right = np.flatnonzero(own == own[-1])
+        out = []
+        for x in np.flatnonzero(own == own[0]):
+            y = right[(comp[right] != comp[x]) & (100 * np.minimum(n[right], n[x]) >= percent * np.maximum(n[right], n[x]))]
+            y = y[(sig[y] == sig[x]).mean(axis=1) >= floor] if len(y) else y
+            out.append((np.minimum(ids[x], ids[y]), np.maximum(ids[x], ids[y])))
+        return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, rows = None, []
+
+        def full() -> bool:
+            return len(rows) > 1 and (key[1] == key[2] or rows[0][0] != rows[-1][0])
+
         for batch in batches:
-            out = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+            out = []
             for r in zip(*(batch.column(k).to_pylist() for k in range(8)), strict=True):
                 if r[:3] != key:
-                    if rows and (rows[0][0] != rows[-1][0] or key[1] == key[2]):
-                        out.append(pairs(rows))
+                    out += pairs(rows) if full() else []
                     key, rows = r[:3], []
                 rows.append(r[3:])
             yield _pair_batch(out)
-        if rows and (rows[0][0] != rows[-1][0] or key[1] == key[2]):
-            yield _pair_batch([pairs(rows)])
+        if full():
+            yield _pair_batch(pairs(rows))
 
     dealt = dealt.join(sigs.select("doc_id", "sig"), "doc_id").select("key", "i", "j", "own", "doc_id", "n", "comp", "sig")
     return dealt.repartition(width(members.sparkSession), "key", "i", "j").sortWithinPartitions("key", "i", "j", "own").mapInArrow(run, "a long, b long").distinct()
 
 
 def _pair_batch(out: list) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(np.concatenate([x[k] for x in out])) for k in (0, 1)], names=["a", "b"])
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *(x[k] for x in out)])) for k in (0, 1)], names=["a", "b"])
 
 
 def near_duplicates(docs: DataFrame, p: NearDup = NearDup()) -> DataFrame:
@@ -203,13 +216,13 @@ def near_duplicates(docs: DataFrame, p: NearDup = NearDup()) -> DataFrame:
     near_size = F.expr(f"100 * least(n, hub.n) >= {p.percent} * greatest(n, hub.n)")
     stars = bands.join(hubs, "key").where(near_size & (F.col("hub.doc_id") != F.col("doc_id"))).select(F.col("hub.doc_id").alias("a"), F.col("doc_id").alias("b")).distinct()
     texts = docs.where("doc_id is not null")
-    links = checkpoint(confirmed(_similar(stars, own, p), texts, p))
+    nearest = _similar(stars, own, p).groupBy("b").agg(F.max_by("a", F.struct("share", -F.col("a"))).alias("a")).select("a", "b")
+    links = checkpoint(confirmed(nearest, texts, p))
     first = checkpoint(connected_components(links))
 
     known = own.select("doc_id", "n", "bands").join(first.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     known = known.select("doc_id", "n", F.coalesce("component", "doc_id").alias("comp"), F.explode("bands").alias("key"))
-    mixed = known.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("size")).where("lo <> hi").select("key", "size")
-    more = confirmed(checkpoint(_across(known.join(mixed, "key"), own, p)), texts, p)
+    more = checkpoint(confirmed(checkpoint(_across(known, own, p)), texts, p))
     last = connected_components(links.union(more))
 
     label = classes.join(last.withColumnRenamed("node", "rep"), "rep", "left").select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
