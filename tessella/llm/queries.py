@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm import langid, neardup, pack_documents, pack_matrix, quality
+from tessella.llm import ann, byte_bpe, chat, langid, neardup, pack_documents, pack_matrix, quality
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,14 +38,30 @@ def op4_token_matrices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("sequence_id", "n_tokens", "n_segments", "doc_ids", "pieces", "starts", "cu_seqlens", F.crc32("ids").alias("ids_crc32"), F.crc32("positions").alias("positions_crc32"))
 
 
+def op5_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest vectors of each vector whose id is divisible by 50."""
+    return ann.nearest(_table(spark, sf_dir, "embeddings"), lambda i: i % 50 == 0)
+
+
+def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of every document's ids and of the bytes that they decode to."""
+    rows = byte_bpe.decode(byte_bpe.encode(_table(spark, sf_dir, "documents")))
+    return rows.select("doc_id", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Place of every piece of every document in sequences of 4096 tokens."""
     return pack_documents.pack(_table(spark, sf_dir, "documents"))
 
 
+def op10_chat_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation as each of its participants sees it, turn by turn."""
+    return chat.perspectives(_table(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_minhash_near_dedup, op2_quality_rules, op3_language_id, op4_token_matrices, op8_best_fit_packing)}
+    return {f.__name__: f for f in (op1_minhash_near_dedup, op2_quality_rules, op3_language_id, op4_token_matrices, op5_nearest_neighbours, op6_byte_bpe, op8_best_fit_packing, op10_chat_perspectives)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_quality_rules": quality.quality_sql()}
+    return {"op2_quality_rules": quality.quality_sql(), "op10_chat_perspectives": chat.perspectives_sql()}
