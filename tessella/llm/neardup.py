@@ -2,9 +2,11 @@
 
 Near-duplicates are documents whose sets of distinct word shingles have a Jaccard similarity of at least ``threshold``.
 The path is: one pass over the texts makes set fingerprints and signatures; documents of equal sets become one class;
-each class is compared with the nearest, by signature, of the smallest members of its band buckets, then only across
-the components that this left apart; each pair that the signatures let through is confirmed on the full shingle sets.
-No bucket is ever expanded into all its pairs and nothing but counters reaches the driver.
+each class is compared, on the full shingle sets, with the nearest, by signature, of the smallest members of its band
+buckets; then members of a bucket that this left in different components, and that the signatures let through, form
+clusters, in which all such members are compared on the full sets, block by block. Pairs that are in one component
+already are never looked at, a task hands on no more links than it takes to connect what it has seen, and nothing but
+counters reaches the driver.
 """
 
 from __future__ import annotations
@@ -31,9 +33,11 @@ class NearDup:
     rows: int = 4
     #: Pairs whose signatures agree in a smaller share are dropped: of pairs at similarity 0.75 that loses 3 in 100,000.
     floor: float = 0.6
-    #: Partners of one document that are confirmed together, and members of a bucket that are compared together.
+    #: Partners of one document that are confirmed together.
     chunk: int = 64
+    #: Members, and shingles, of a block of those that are compared with one another.
     block: int = 256
+    load: int = 1 << 17
 
 
 SIGNATURES = "doc_id long, n_shingles long, fp1 long, fp2 long, sig binary, bands array<long>"
@@ -141,59 +145,111 @@ def confirmed(pairs: DataFrame, docs: DataFrame, p: NearDup = NearDup()) -> Data
     )
 
 
-def _across(members: DataFrame, sigs: DataFrame, p: NearDup) -> DataFrame:
-    """Pairs of members of a bucket (key, doc_id, n, comp) in different components that the signatures let through.
+def _dealt(members: DataFrame, key: str, weight, most: int) -> DataFrame:
+    """Members (key, doc_id, n, comp) of groups of several components, dealt to pairs of blocks (i, j) of ``most`` weight.
 
-    Pairs within the bucket's largest component are never looked at. The members outside it are cut into blocks, which
-    meet the blocks of all members; a task compares the signatures of two blocks of about ``p.block`` members.
+    Members outside their group's largest component are cut into blocks, which meet each other and the blocks of that
+    component, so every pair in different components meets; pairs within the largest one never do.
     """
-    counts = members.groupBy("key", "comp").agg(F.count("*").alias("m"))
-    counts = counts.groupBy("key").agg(F.count("*").alias("comps"), F.max(F.struct("m", "comp")).alias("top"), F.sum("m").alias("size")).where("comps > 1")
-    blocks = lambda n: F.ceil(n / p.block).cast("int")
-    counts = counts.select("key", F.col("top.comp").alias("main"), blocks(F.col("top.m")).alias("inner"), blocks(F.col("size") - F.col("top.m")).alias("outer"))
-    dealt = members.join(counts, "key").withColumn("out", F.col("comp") != F.col("main"))
+    counts = members.groupBy(key, "comp").agg(F.sum(weight).alias("m"))
+    counts = counts.groupBy(key).agg(F.count("*").alias("comps"), F.max(F.struct("m", "comp")).alias("top"), F.sum("m").alias("all")).where("comps > 1")
+    blocks = lambda n: F.ceil(n / most).cast("int")
+    counts = counts.select(key, F.col("top.comp").alias("main"), blocks(F.col("top.m")).alias("inner"), blocks(F.col("all") - F.col("top.m")).alias("outer"))
+    dealt = members.join(counts, key).withColumn("out", F.col("comp") != F.col("main"))
     own = F.pmod(F.xxhash64("doc_id"), F.when(F.col("out"), F.col("outer")).otherwise(F.col("inner"))).cast("int")
     dealt = dealt.withColumn("own", F.when(F.col("out"), own).otherwise(F.col("outer") + own))
     # a block pair is (i, j) with i of the outer blocks and i <= j
     at = F.transform(F.sequence(F.lit(0), F.col("outer") - 1), lambda i: F.struct(F.least(i, "own").alias("i"), F.greatest(i, "own").alias("j")))
     beyond = F.transform(F.sequence(F.col("outer"), F.col("outer") + F.col("inner") - 1), lambda j: F.struct(F.col("own").alias("i"), j.alias("j")))
-    dealt = dealt.withColumn("at", F.explode(F.when(F.col("out"), F.concat(at, beyond)).otherwise(at))).select("key", "at.i", "at.j", "own", "doc_id", "n", "comp")
-    floor, percent = p.floor, p.percent
+    return dealt.withColumn("at", F.explode(F.when(F.col("out"), F.concat(at, beyond)).otherwise(at))).select(F.col(key).alias("key"), "at.i", "at.j", "own", "doc_id", "n", "comp")
 
-    def pairs(rows: list) -> list[tuple[np.ndarray, np.ndarray]]:
-        own, ids, n, comp = (np.array([r[k] for r in rows], dtype=np.int64) for k in range(4))
-        sig = np.frombuffer(b"".join(r[4] for r in rows), np.uint16).reshape(len(rows), -1)
-        right = np.flatnonzero(own == own[-1])
-        out = []
-        for x in np.flatnonzero(own == own[0]):
-            y = right[(comp[right] != comp[x]) & (100 * np.minimum(n[right], n[x]) >= percent * np.maximum(n[right], n[x]))]
-            y = y[(sig[y] == sig[x]).mean(axis=1) >= floor] if len(y) else y
-            out.append((np.minimum(ids[x], ids[y]), np.maximum(ids[x], ids[y])))
-        return out
+
+class _Apart:
+    """Which components a task has connected; ``join`` says whether two of them were apart."""
+
+    def __init__(self) -> None:
+        self.up: dict[int, int] = {}
+
+    def find(self, x: int) -> int:
+        while (y := self.up.get(x, x)) != x:
+            self.up[x] = self.up.get(y, y)
+            x = y
+        return x
+
+    def join(self, x: int, y: int) -> bool:
+        x, y = self.find(x), self.find(y)
+        self.up[max(x, y)] = min(x, y)
+        return x != y
+
+
+def _compared(dealt: DataFrame, content: str, compare) -> DataFrame:
+    """(a, b) that ``compare(own, n, comp, ids, contents)`` yields for the rows of each block pair, without repeats."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, rows = None, []
 
-        def full() -> bool:
-            return len(rows) > 1 and (key[1] == key[2] or rows[0][0] != rows[-1][0])
+        def found() -> list[tuple[int, int]]:
+            if len(rows) < 2 or (key[1] != key[2] and rows[0][0] == rows[-1][0]):
+                return []
+            own, ids, n, comp = (np.array([r[k] for r in rows], dtype=np.int64) for k in range(4))
+            return list(compare(own, n, comp, ids, [r[4] for r in rows]))
+
+        def batch_of(out: list[tuple[int, int]]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
         for batch in batches:
-            out = []
+            out: list[tuple[int, int]] = []
             for r in zip(*(batch.column(k).to_pylist() for k in range(8)), strict=True):
                 if r[:3] != key:
-                    out += pairs(rows) if full() else []
+                    out += found()
                     key, rows = r[:3], []
                 rows.append(r[3:])
-            yield _pair_batch(out)
-        if full():
-            yield _pair_batch(pairs(rows))
+            yield batch_of(out)
+        yield batch_of(found())
+
+    dealt = dealt.select("key", "i", "j", "own", "doc_id", "n", "comp", content)
+    return dealt.repartition(width(dealt.sparkSession), "key", "i", "j").sortWithinPartitions("key", "i", "j", "own").mapInArrow(run, "a long, b long").distinct()
 
-    dealt = dealt.join(sigs.select("doc_id", "sig"), "doc_id").select("key", "i", "j", "own", "doc_id", "n", "comp", "sig")
-    return dealt.repartition(width(members.sparkSession), "key", "i", "j").sortWithinPartitions("key", "i", "j", "own").mapInArrow(run, "a long, b long").distinct()
 
+def _clusters(members: DataFrame, sigs: DataFrame, p: NearDup) -> DataFrame:
+    """Pairs of components that hold members of one bucket (key, doc_id, n, comp) whose signatures agree enough."""
+    floor, percent = p.floor, p.percent
+
+    def compare(own: np.ndarray, n: np.ndarray, comp: np.ndarray, ids: np.ndarray, contents: list) -> Iterator[tuple[int, int]]:
+        sig, right, apart = np.frombuffer(b"".join(contents), np.uint16).reshape(len(n), -1), np.flatnonzero(own == own[-1]), _Apart()
+        for x in np.flatnonzero(own == own[0]):
+            y = right[(comp[right] != comp[x]) & (100 * np.minimum(n[right], n[x]) >= percent * np.maximum(n[right], n[x]))]
+            y = y[(sig[y] == sig[x]).mean(axis=1) >= floor] if len(y) else y
+            for other in np.unique(comp[y]).tolist():
+                if apart.join(int(comp[x]), other):
+                    yield int(comp[x]), other
+
+    return _compared(_dealt(members, "key", F.lit(1), p.block).join(sigs.select("doc_id", "sig"), "doc_id"), "sig", compare)
+
+
+def _links(members: DataFrame, docs: DataFrame, p: NearDup) -> DataFrame:
+    """Pairs of members of a cluster (cluster, doc_id, n, comp) in different components that reach the threshold."""
+    percent, size = p.percent, p.size
+
+    def compare(own: np.ndarray, n: np.ndarray, comp: np.ndarray, ids: np.ndarray, contents: list) -> Iterator[tuple[int, int]]:
+        sets = list(_sets(pa.RecordBatch.from_arrays([pa.array(contents, pa.string())], names=["text"]), "text", size))
+        sizes = np.array([len(x) for x in sets])
+        _, codes = np.unique(np.concatenate(sets), return_inverse=True)
+        ends = np.append(0, np.cumsum(sizes))
+        right, apart = np.flatnonzero(own == own[-1]), _Apart()
+        theirs = codes[ends[right[0]] : ends[right[-1] + 1]]  # rows come in the order of their blocks
+        starts = ends[right] - ends[right[0]]
+        mine = np.zeros(int(codes.max()) + 1, dtype=np.int32)
+        for x in np.flatnonzero(own == own[0]):
+            mine[codes[ends[x] : ends[x + 1]]] = 1
+            both = np.add.reduceat(mine[theirs], starts)
+            mine[codes[ends[x] : ends[x + 1]]] = 0
+            near = (100 * both >= percent * (sizes[x] + sizes[right] - both)) & (comp[right] != comp[x])
+            for y in right[near].tolist():
+                if apart.join(int(comp[x]), int(comp[y])):
+                    yield int(ids[x]), int(ids[y])
 
-def _pair_batch(out: list) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *(x[k] for x in out)])) for k in (0, 1)], names=["a", "b"])
+    return _compared(_dealt(members, "cluster", F.col("n"), p.load).join(docs.select("doc_id", "text"), "doc_id"), "text", compare)
 
 
 def near_duplicates(docs: DataFrame, p: NearDup = NearDup()) -> DataFrame:
@@ -220,9 +276,10 @@ def near_duplicates(docs: DataFrame, p: NearDup = NearDup()) -> DataFrame:
     links = checkpoint(confirmed(nearest, texts, p))
     first = checkpoint(connected_components(links))
 
-    known = own.select("doc_id", "n", "bands").join(first.withColumnRenamed("node", "doc_id"), "doc_id", "left")
-    known = known.select("doc_id", "n", F.coalesce("component", "doc_id").alias("comp"), F.explode("bands").alias("key"))
-    more = checkpoint(confirmed(checkpoint(_across(known, own, p)), texts, p))
+    known = own.select("doc_id", "n", "bands").join(first.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("comp", F.coalesce("component", "doc_id"))
+    near = checkpoint(_clusters(known.select("doc_id", "n", "comp", F.explode("bands").alias("key")), own, p))
+    cluster = connected_components(near).select(F.col("node").alias("comp"), F.col("component").alias("cluster"))
+    more = checkpoint(_links(known.select("doc_id", "n", "comp").join(cluster, "comp"), texts, p))
     last = connected_components(links.union(more))
 
     label = classes.join(last.withColumnRenamed("node", "rep"), "rep", "left").select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
