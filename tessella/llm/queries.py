@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm import ann, byte_bpe, chat, langid, neardup, pack_documents, pack_matrix, quality
+from tessella.llm import ann, byte_bpe, chat, langid, lm_score, neardup, pack_documents, pack_matrix, quality
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,13 +54,20 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents.pack(_table(spark, sf_dir, "documents"))
 
 
+def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log10 probabilities of every document by context mixing and by unigrams, learnt from those not held out."""
+    docs = _table(spark, sf_dir, "documents")
+    found = lm_score.score(docs, ~langid.held_out("doc_id", 7))
+    return found.withColumn("held_out", langid.held_out("doc_id", 7))
+
+
 def op10_chat_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every conversation as each of its participants sees it, turn by turn."""
     return chat.perspectives(_table(spark, sf_dir, "conversations"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_minhash_near_dedup, op2_quality_rules, op3_language_id, op4_token_matrices, op5_nearest_neighbours, op6_byte_bpe, op8_best_fit_packing, op10_chat_perspectives)}
+    return {f.__name__: f for f in (op1_minhash_near_dedup, op2_quality_rules, op3_language_id, op4_token_matrices, op5_nearest_neighbours, op6_byte_bpe, op8_best_fit_packing, op9_lm_scoring, op10_chat_perspectives)}
 
 
 def oracle_sql() -> dict[str, str]:
