@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm import ann, byte_bpe, chat, langid, lm_score, neardup, pack_documents, pack_matrix, quality
+from tessella.llm import ann, byte_bpe, chat, langid, licences, lm_score, neardup, pack_documents, pack_matrix, quality
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -49,6 +49,11 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op7_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paragraphs of all documents that name a licence, with its family."""
+    return licences.scan(_table(spark, sf_dir, "documents"))
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Place of every piece of every document in sequences of 4096 tokens."""
     return pack_documents.pack(_table(spark, sf_dir, "documents"))
@@ -67,7 +72,7 @@ def op10_chat_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_minhash_near_dedup, op2_quality_rules, op3_language_id, op4_token_matrices, op5_nearest_neighbours, op6_byte_bpe, op8_best_fit_packing, op9_lm_scoring, op10_chat_perspectives)}
+    return {f.__name__: f for f in (op1_minhash_near_dedup, op2_quality_rules, op3_language_id, op4_token_matrices, op5_nearest_neighbours, op6_byte_bpe, op7_licence_scan, op8_best_fit_packing, op9_lm_scoring, op10_chat_perspectives)}
 
 
 def oracle_sql() -> dict[str, str]:
