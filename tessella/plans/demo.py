@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessella.functions.lineage import checkpoint
 from tessella.operators.features import run_features
 from tessella.operators.index import dev_index, domain_scores
 
@@ -27,6 +30,17 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+_kept: dict[tuple, DataFrame] = {}
+
+
+def _keep(spark: SparkSession, name: tuple, make: Callable[[], DataFrame]) -> DataFrame:
+    """A table of a session, made at its first use and checkpointed."""
+    key = (spark.sparkContext.applicationId, *name)
+    if key not in _kept:
+        _kept[key] = checkpoint(make())
+    return _kept[key]
+
+
 def metrics(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(METRICS, "metric_id long, metric_name string, domain string, value_type string, higher_is_better boolean, is_core boolean, coverage double")
 
@@ -51,7 +65,7 @@ def fact(spark: SparkSession, d: str) -> DataFrame:
 
 def features(spark: SparkSession, d: str) -> DataFrame:
     """The dense panel, kept: every job of a session that starts from it shares one computation."""
-    return run_features(fact(spark, d), regions(spark, d), metrics(spark), POPULATION, YEARS).persist()
+    return _keep(spark, ("features", d), lambda: run_features(fact(spark, d), regions(spark, d), metrics(spark), POPULATION, YEARS))
 
 
 def wide(spark: SparkSession, d: str) -> DataFrame:
@@ -60,7 +74,7 @@ def wide(spark: SparkSession, d: str) -> DataFrame:
 
 def dev(spark: SparkSession, d: str) -> DataFrame:
     """The index by two schemes, kept like the panel."""
-    return dev_index(wide(spark, d), DOMAINS, SCHEMES).persist()
+    return _keep(spark, ("dev", d), lambda: dev_index(wide(spark, d), DOMAINS, SCHEMES))
 
 
 def clusters(spark: SparkSession, d: str) -> DataFrame:
