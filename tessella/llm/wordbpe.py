@@ -19,18 +19,35 @@ _encoders: dict[tuple[str, str], "WordEncoder"] = {}
 class WordEncoder:
     """``encode(texts)`` gives each text's ids as little-endian bytes of ``kind``. At most ``most`` chunks are kept."""
 
-    def __init__(self, path: str, kind: str, most: int = 400_000) -> None:
+    def __init__(self, path: str, kind: str, most: int = 1_000_000) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.kind, self.most = np.dtype(kind), most
+        self.ends = np.zeros(self.tokenizer.get_vocab_size(), dtype=bool)
+        for token, at in self.tokenizer.get_vocab().items():
+            self.ends[at] = token.endswith("</w>")
         self.chunks: dict[str, bytes] = {}
         self.parts: dict[str, bytes] = {}
 
     def _library(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        return [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _words(self, words: list[str]) -> list[bytes]:
+        """Ids of words of letters alone, each one token run: by the model itself in lower-case ASCII, else as one text."""
+        plain = [w for w in words if w.isascii()]
+        out = {w: np.array([t.id for t in self.tokenizer.model.tokenize(w)], self.kind).tobytes() for w in plain}
+        rest = [w for w in words if not w.isascii()]
+        if rest:
+            ids = np.array(self.tokenizer.encode(" ".join(rest), add_special_tokens=False).ids, self.kind)
+            cuts = np.flatnonzero(self.ends[ids]) + 1
+            if len(cuts) == len(rest):
+                out.update(zip(rest, (x.tobytes() for x in np.split(ids, cuts[:-1])), strict=True))
+            else:
+                out.update(zip(rest, self._library(rest), strict=True))
+        return [out[w] for w in words]
 
     def _learn(self, chunks: set[str]) -> None:
         split, need = [], set()
@@ -45,8 +62,10 @@ class WordEncoder:
             if tail:
                 need.add(tail)
         need -= self.parts.keys()
-        fresh = list(need)
-        self.parts.update(zip(fresh, self._library(fresh), strict=True))
+        letters = [w for w in need if w.isalpha() and max(w) < "\u0250"]
+        self.parts.update(zip(letters, self._words(letters), strict=True))
+        others = list(need.difference(letters))
+        self.parts.update(zip(others, self._library(others), strict=True))
         for c, core, tail in split:
             self.chunks[c] = self.parts[core] + self.parts[tail] if tail else self.parts[core]
 
