@@ -61,7 +61,7 @@ class WordEncoder:
             need.add(core)
             if tail:
                 need.add(tail)
-        need -= self.parts.keys()
+        need = {w for w in need if w not in self.parts}
         letters = [w for w in need if w.isalpha() and max(w) < "\u0250"]
         self.parts.update(zip(letters, self._words(letters), strict=True))
         others = list(need.difference(letters))
@@ -82,7 +82,7 @@ class WordEncoder:
                 if len(self.chunks) + len(self.parts) > self.most:
                     self.chunks.clear()
                     self.parts.clear()
-                self._learn(set(words) - self.chunks.keys())
+                self._learn({w for w in words if w not in self.chunks})
                 out.append(b"".join(map(self.chunks.__getitem__, words)))
         return out
 
