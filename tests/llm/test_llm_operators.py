@@ -103,6 +103,17 @@ def test_capacity_tree_and_best_fit():
     assert sorted(i for b in bins for i in b) == [0, 1, 2, 3, 4] and all(lengths[b].sum() <= 10 for b in bins) and len(bins) == 2
 
 
+def least_sequences(lengths, capacity):
+    """The lower bound L2 of Martello and Toth: pieces over half a sequence can't share, the rest fills what they leave."""
+    best = 0
+    for k in range(capacity // 2 + 1):
+        alone, half = lengths > capacity - k, (lengths > capacity // 2) & (lengths <= capacity - k)
+        small = lengths[(lengths >= k) & (lengths <= capacity // 2)].sum()
+        over = small - (half.sum() * capacity - lengths[half].sum())
+        best = max(best, int(alone.sum() + half.sum() + max(0, -(-int(over) // capacity))))
+    return best
+
+
 @pytest.mark.parametrize("seed", range(6))
 def test_plan(seed):
     rng = np.random.default_rng(seed)
@@ -121,7 +132,7 @@ def test_plan(seed):
             assert offset == at
             at += length
         assert at <= 40
-    assert plan.sequences <= -(-int(lengths.sum()) // 40) + 1
+    assert plan.sequences <= min(len(best_fit_decreasing(lengths, 40)), least_sequences(lengths, 40) + 1)
 
 
 def test_packing(docs, none):
