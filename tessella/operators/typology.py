@@ -183,7 +183,8 @@ def twins(profiles: DataFrame, top: int = 5, block: int = 512) -> DataFrame:
     rows = profiles.join(sizes, "year").withColumn("own", F.pmod(F.xxhash64("entity"), F.col("blocks")).cast("int"))
     dealt = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     left = dealt.select("year", F.col("own").alias("i"), F.col("other").alias("j"), "entity", "profile").groupBy("year", "i", "j")
-    right = dealt.select("year", F.col("other").alias("i"), F.col("own").alias("j"), "entity", "profile").groupBy("year", "i", "j")
+    fresh = [F.col(c).alias(c) for c in ("year", "entity", "profile")]  # the sides of a cogroup may share no attribute
+    right = dealt.select(F.col("other").alias("i"), F.col("own").alias("j"), *fresh).groupBy("year", "i", "j")
 
     def unit(col: pd.Series) -> np.ndarray:
         x = np.array(col.tolist(), dtype=np.float64)
@@ -191,7 +192,7 @@ def twins(profiles: DataFrame, top: int = 5, block: int = 512) -> DataFrame:
         return x / np.where(norm == 0, 1, norm)
 
     def run(key: tuple, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        out = []
+        out = []  # a block without partners gives nothing
         if len(a) and len(b):
             sim, names, own = np.round(unit(a["profile"]) @ unit(b["profile"]).T, 8) + 0.0, b["entity"].to_numpy(), a["entity"].to_numpy()
             order = np.argsort(names, kind="stable")

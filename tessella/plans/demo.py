@@ -117,7 +117,7 @@ def series(spark: SparkSession, d: str) -> DataFrame:
     o, c = table(spark, d, "orders"), table(spark, d, "customer").select("c_custkey", "c_nationkey")
     quarter = (F.year("o_orderdate") * 4 + F.quarter("o_orderdate")).cast("long")
     rows = o.join(c, o.o_custkey == c.c_custkey).groupBy(F.lpad(F.col("c_nationkey").cast("string"), 2, "0").alias("entity"), F.substring("o_orderpriority", 1, 1).cast("long").alias("metric_id"), quarter.alias("year"))
-    return rows.agg(F.round(F.avg("o_totalprice"), 2).alias("value"))
+    return rows.agg(F.avg("o_totalprice").alias("value"))
 
 
 _METRICS_SQL = ", ".join(f"({i}::BIGINT, '{n}', '{g}', '{t}', {'NULL::BOOLEAN' if h is None else str(h).lower()}, {str(c).lower()}, {v}::DOUBLE)" for i, n, g, t, h, c, v in METRICS)
@@ -166,7 +166,7 @@ latest AS (SELECT * EXCLUDE (r, ed) FROM (SELECT *, row_number() OVER (PARTITION
            (SELECT *, coalesce(list_max(list_transform(regexp_extract_all(source, '(20[0-9][0-9])', 1), lambda x: x::INT)), 0) AS ed FROM canon)) WHERE r = 1),
 rdim AS (SELECT object_okato AS entity, f.n AS region_name, f.o AS oktmo, CASE WHEN f.n LIKE '%without%' THEN 'without' WHEN f.n LIKE '%with parts%' THEN 'with' ELSE 'none' END AS variant FROM
          (SELECT object_okato, min(struct_pack(n := object_name, o := object_oktmo)) AS f FROM canon GROUP BY 1)),
-series AS (SELECT lpad(c_nationkey::VARCHAR, 2, '0') AS entity, substr(o_orderpriority, 1, 1)::BIGINT AS metric_id, (year(o_orderdate) * 4 + quarter(o_orderdate))::BIGINT AS year, round(avg(o_totalprice), 2) AS value FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2, 3),
+series AS (SELECT lpad(c_nationkey::VARCHAR, 2, '0') AS entity, substr(o_orderpriority, 1, 1)::BIGINT AS metric_id, (year(o_orderdate) * 4 + quarter(o_orderdate))::BIGINT AS year, avg(o_totalprice) AS value FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2, 3),
 rk AS (SELECT entity, year, scheme, total_score, row_number() OVER (PARTITION BY scheme, year ORDER BY total_score DESC, entity) AS rank FROM dev WHERE total_score IS NOT NULL),
 corank AS (SELECT year, metric_id, entity, rank() OVER (PARTITION BY year, metric_id ORDER BY value_harmonized) + (count(*) OVER (PARTITION BY year, metric_id, value_harmonized) - 1) / 2.0 AS v FROM feat),
 cor AS (SELECT a.year, a.metric_id AS metric_a, b.metric_id AS metric_b, CASE WHEN stddev_pop(a.v) > 0 AND stddev_pop(b.v) > 0 THEN covar_pop(a.v, b.v) / (stddev_pop(a.v) * stddev_pop(b.v)) END AS r, count(*) AS n
