@@ -161,7 +161,8 @@ def nearest(vectors: DataFrame, is_query, k: int = 5, p: Ann = Ann()) -> DataFra
     asked = same.where(is_query(F.col("vec_id"))).select("vec_id", "v").mapInArrow(index, "vec_id long, v binary, code binary").drop("code")
     base, asked = checkpoint(base), checkpoint(asked.distinct())
     row_blocks, query_blocks = (max(1, -(-t.count() // n)) for t, n in ((base, p.rows), (asked, p.queries)))
-    deal = lambda t, own, n, other, m: t.withColumn(own, F.pmod(F.xxhash64("vec_id"), F.lit(n))).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(m - 1))))
+    # both sides hold i and j as int: keys of other types hash to other partitions, where a cogroup misses them
+    deal = lambda t, own, n, other, m: t.withColumn(own, F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(m - 1))))
     left = deal(base, "i", row_blocks, "j", query_blocks).groupBy("i", "j")
     right = deal(asked, "j", query_blocks, "i", row_blocks).groupBy("i", "j")
 

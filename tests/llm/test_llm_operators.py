@@ -158,6 +158,26 @@ def test_matrix(docs, none):
     assert pack_matrix.packed_rows(none).count() == 0
 
 
+def test_nearest_over_many_partitions(spark):
+    """Every block of rows meets every block of queries wherever the shuffle puts them."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(600, 8))
+    held = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.enabled")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "97")
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        got = ann.nearest(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>"), lambda i: i % 50 == 0, 5, ann.Ann(rows=150, queries=4)).collect()
+    finally:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    score = unit @ unit.T
+    np.fill_diagonal(score, -2)
+    best = {(q, int(i)) for q in range(0, 600, 50) for i in np.argsort(-score[q])[:5]}
+    assert len(got) == 60
+    assert len(best & {(r.query_id, r.vec_id) for r in got}) >= 54
+
+
 def test_nearest(spark):
     rng = np.random.default_rng(2)
     x = rng.normal(size=(600, 16))
