@@ -1,8 +1,8 @@
 """Quality rules by cross-document line frequency, in DataFrame functions alone.
 
 A line is normalised to its words, lower-cased and joined by single spaces. For each host (``source``) the lines are
-counted by the distinct documents that hold them; copies of one document, exact or edited, count once, as the smallest of
-its line hashes stands for the document. A line above the limits is boilerplate and its words are
+counted by the distinct documents that hold them; exact copies of one document count once, as the hash of the whole text
+stands for the document. A line above the limits is boilerplate and its words are
 removed from the documents of that host; a document that keeps too small a share of its words is depleted.
 """
 
@@ -56,10 +56,11 @@ def document_statistics(docs: DataFrame) -> DataFrame:
 
 def frequent_lines(stats: DataFrame, limits: LineLimits = LineLimits()) -> DataFrame:
     """(host, line, docs) of the lines above the limits of their host."""
-    sketch = F.array_min(F.transform("lines", lambda x: x["line"]))
-    lines = stats.where(F.size("lines") > 0).select("host", sketch.alias("sketch"), F.explode(F.array_distinct(F.transform("lines", lambda x: x["line"]))).alias("line"))
-    held = lines.groupBy("host", "line", "sketch").agg(F.lit(1).alias("one")).groupBy("host", "line").agg(F.count("*").alias("docs")).where(F.col("docs") >= limits.min_docs)
-    hosts = stats.where(F.size("lines") > 0).select("host", sketch.alias("sketch")).distinct().groupBy("host").agg(F.count("*").alias("host_docs"))
+    copy = F.unhex("copy").alias("copy")
+    lines = stats.where(F.size("lines") > 0).select("host", copy, F.explode(F.array_distinct(F.transform("lines", lambda x: F.unhex(x["line"])))).alias("line"))
+    held = lines.groupBy("host", "line", "copy").agg(F.lit(1).alias("one")).groupBy("host", "line").agg(F.count("*").alias("docs")).where(F.col("docs") >= limits.min_docs)
+    held = held.withColumn("line", F.lower(F.hex("line")))
+    hosts = stats.where(F.size("lines") > 0).select("host", copy).distinct().groupBy("host").agg(F.count("*").alias("host_docs"))
     return held.join(hosts, "host").where(F.col("docs") > limits.max_share * F.col("host_docs")).select("host", "line", "docs")
 
 

@@ -82,6 +82,15 @@ def test_frequent_lines(spark):
     assert got[0] == (92, 84, True) and got[99][2] is False
 
 
+def test_frequent_lines_that_stand_together(spark):
+    """Header and footer in all of a host's unlike documents: both go, whichever has the lower hash; exact copies count once."""
+    head, foot = "home news sports weather travel contact105", "about imprint privacy terms careers press help"
+    rows = [(k, "\n".join([head] + [" ".join(f"l{k}a{j}b{i}" for i in range(6)) for j in range(12)] + [foot]), "h") for k in range(30)]
+    rows += [(100 + k, "\n".join(" ".join(f"m{j}c{i}" for i in range(6)) for j in range(12)), "h") for k in range(25)]
+    got = {r.doc_id: (r.n_words, r.words_left) for r in quality.quality(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert all(got[k] == (85, 72) for k in range(30)) and all(got[100 + k] == (72, 72) for k in range(25))
+
+
 def test_language(spark):
     rng = np.random.default_rng(1)
     vocab = {"xx": ["aba", "bab", "cab", "dab"], "yy": ["oki", "koi", "lok", "mok"]}
