@@ -233,6 +233,39 @@ def test_lm_score(docs, none):
     assert bytes(lm_score.canonical(np.frombuffer(b" A  b\tC\n", np.uint8))[:-1].astype(np.uint8)) == " ".join(words).lower().encode()
 
 
+def test_lm_score_by_brute_force(spark):
+    """More contexts than 2^18, over several pieces, against counts in a dictionary of whole contexts."""
+    rng = np.random.default_rng(5)
+    texts = ["".join(rng.choice(list("abcdefghijklmnopqrst "), 75_000, p=[0.045] * 20 + [0.1])) for _ in range(4)] + ["abc abd abc", "", LONG]
+    counts = {}
+
+    def decisions(text):
+        s = lm_score.canonical(np.frombuffer(text.encode(), np.uint8)).tolist()
+        word, out = (), []
+        for i, x in enumerate(s):
+            past = tuple(s[max(0, i - 5) : i])
+            contexts = [(m, past[-k:]) for m, k in enumerate((1, 2, 3, 5))] + [(4, word)]
+            a, n = lm_score.FIRST[x], lm_score.DEPTH[x]
+            out += [([(*c, node) for c in contexts], bit) for node, bit in zip(lm_score.NODE[a : a + n].tolist(), lm_score.OUTCOME[a : a + n].tolist(), strict=True)]
+            word = (" ",) if x == 32 else (*word, x)
+        return out, lm_score.DEPTH[s]
+
+    for text in texts[:5]:
+        for keys, bit in decisions(text)[0]:
+            for key in keys:
+                counts.setdefault(key, [0, 0])[bit] += 1
+    assert len({k[1] for k in counts if k[0] == 3}) > 1 << 18
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.score for r in lm_score.score(rows, rows.doc_id < 5, lm_score.Mixer(piece=50_000)).collect()}
+    for k in range(3, 7):
+        found, sizes = decisions(texts[k])
+        n = np.array([[counts.get(key, (0, 0)) for key in keys] for keys, _ in found], float)
+        gate = np.array([max([m + 1 for m in range(5) if x[m].sum() >= 3], default=0) for x in n], np.int8)
+        logit = np.log((n[:, :, 1] + 0.3) / (n[:, :, 0] + 0.3)).astype(np.float32)
+        want = lm_score.mixed(logit, gate, np.array([b for _, b in found], np.uint8), sizes, lm_score.Mixer()) / np.log(10)
+        assert got[k] == pytest.approx(want, rel=1e-4)
+
+
 def test_chat(spark):
     rows = [(1, 0, "system", "s"), (1, 1, "ann", "hi"), (1, 2, "bob", None), (1, 2, "bob", None), (1, 3, None, "?"), (None, 0, "ann", "x"), (2, 0, "system", "alone")]
     got = chat.perspectives(spark.createDataFrame([(*r, "more") for r in rows], "conv_id long, turn long, role string, text string, start string")).collect()
