@@ -39,7 +39,7 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("language_id", language), ("quality_rules", quality_rules), ("near_dedup", near_dedup), ("packing", packing)]
 
-#: Language ID and components have no SQL; the tests hold the stages against brute force.
+#: Language ID and components have no SQL; the operators have tests of their own, no test runs the pipeline.
 ORACLE_SQL = None
 
 
