@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.llm import langid, neardup, pack_documents, quality
-from tessella.llm.common import shared_folder
+from tessella.functions.lineage import shared_folder
 
 
 def _keep(docs: DataFrame, verdict: DataFrame) -> DataFrame:
