@@ -1,13 +1,14 @@
-"""Helpers the training-data operators share: cutting lineage, Arrow text buffers, word and shingle hashes."""
+"""Helpers the training-data operators share: Arrow text buffers, word and shingle hashes."""
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
+
+from tessella.functions.lineage import Tables, checkpoint, shared_folder, shuffles_freed  # noqa: F401
 
 #: ASCII white space of the word pattern ``[^\x20\x09-\x0D]+``.
 WHITE = np.zeros(256, dtype=bool)
@@ -22,24 +23,6 @@ SHINGLE_KEYS = _rng.integers(0, 2**64, 64, dtype=np.uint64) | np.uint64(1)
 _POWERS = np.cumprod(np.full(256, STEP, dtype=np.uint64))
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder for checkpoints and intermediate tables, as the session's ``spark.checkpoint.dir`` names it.
-
-    Where the session names none (tests on one machine) a fresh folder is set for it.
-    """
-    context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        folder = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-checkpoints-"))
-    return context._jsc.sc().getCheckpointDir().get()
-
-
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage of ``df`` with a reliable checkpoint in the shared folder."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
-
-
 def width(spark: SparkSession) -> int:
     """The session's number of shuffle partitions."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

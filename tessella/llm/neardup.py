@@ -6,7 +6,8 @@ each class is compared, on the full shingle sets, with the nearest, by signature
 buckets; then members of a bucket that this left in different components, and that the signatures let through, form
 clusters, in which all such members are compared on the full sets, block by block. Pairs that are in one component
 already are never looked at, a task hands on no more links than it takes to connect what it has seen, and nothing but
-counters reaches the driver.
+counters reaches the driver. From the buckets on, only documents that share one with another class are carried along.
+Every intermediate table is dropped when its successors are written.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import checkpoint, mix, runs, shingles, text_buffers, width, words
+from tessella.llm.common import Tables, checkpoint, mix, runs, shingles, text_buffers, width, words
 from tessella.llm.graph import connected_components
 
 
@@ -33,14 +34,14 @@ class NearDup:
     rows: int = 4
     #: Pairs whose signatures agree in a smaller share are dropped: of pairs at similarity 0.75 that loses 3 in 100,000.
     floor: float = 0.6
-    #: Partners of one document that are confirmed together.
-    chunk: int = 64
+    #: The partners of one document are spread over so many groups when they are confirmed.
+    chunks: int = 1024
     #: Members, and shingles, of a block of those that are compared with one another.
     block: int = 256
     load: int = 1 << 17
 
 
-SIGNATURES = "doc_id long, n_shingles long, fp1 long, fp2 long, sig binary, bands array<long>"
+SIGNATURES = "doc_id long, n_shingles long, fp1 long, fp2 long, sig binary"
 
 
 def _sets(batch: pa.RecordBatch, column: str, size: int) -> Iterator[np.ndarray]:
@@ -53,23 +54,20 @@ def _sets(batch: pa.RecordBatch, column: str, size: int) -> Iterator[np.ndarray]
 
 
 def signatures(docs: DataFrame, p: NearDup = NearDup()) -> DataFrame:
-    """One row per document: set size, 128-bit set fingerprint, 16 bits of each minimum, band keys."""
+    """One row per document: set size, 128-bit set fingerprint, 16 bits of each minimum."""
     n = p.bands * p.rows
     rng = np.random.Generator(np.random.PCG64(7))
     a = (rng.integers(0, 2**64, n, dtype=np.uint64) | np.uint64(1))[:, None]
     b = rng.integers(0, 2**64, n, dtype=np.uint64)[:, None]
-    fold = rng.integers(0, 2**64, n, dtype=np.uint64) | np.uint64(1)
-    tag = rng.integers(0, 2**64, p.bands, dtype=np.uint64)
     salt = np.uint64(0xA0761D6478BD642F)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = 512
         space = np.empty((n, step), dtype=np.uint64)
         for batch in batches:
-            sizes, one, two, sigs, keys, known = [], [], [], [], [], []
+            sizes, one, two, sigs = [], [], [], []
             for found in _sets(batch, "text", p.size):
                 sizes.append(len(found))
-                known.append(bool(len(found)))
                 least = np.full(n, 2**64 - 1, dtype=np.uint64)
                 for at in range(0, len(found), step):
                     part = found[None, at : at + step]
@@ -80,21 +78,22 @@ def signatures(docs: DataFrame, p: NearDup = NearDup()) -> DataFrame:
                 one.append(int(mix(found).sum(dtype=np.uint64).view(np.int64)) if len(found) else None)
                 two.append(int(mix(found ^ salt).sum(dtype=np.uint64).view(np.int64)) if len(found) else None)
                 sigs.append((mix(least) >> np.uint64(48)).astype(np.uint16).tobytes() if len(found) else None)
-                keys.append(mix((least * fold).reshape(p.bands, p.rows).sum(axis=1, dtype=np.uint64) + tag) if len(found) else None)
-            lists = pa.ListArray.from_arrays(
-                pa.array(np.append(0, np.cumsum(np.where(known, p.bands, 0))).astype(np.int32)),
-                pa.array(np.concatenate([np.zeros(0, np.uint64), *(k for k in keys if k is not None)]).view(np.int64)),
-            )
             yield pa.RecordBatch.from_arrays(
-                [batch.column(batch.schema.get_field_index("doc_id")).cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array(sigs, pa.binary()), lists],
-                names=["doc_id", "n_shingles", "fp1", "fp2", "sig", "bands"],
+                [batch.column(batch.schema.get_field_index("doc_id")).cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array(sigs, pa.binary())],
+                names=["doc_id", "n_shingles", "fp1", "fp2", "sig"],
             )
 
     return docs.select("doc_id", "text").mapInArrow(run, SIGNATURES)
 
 
-def _similar(pairs: DataFrame, sigs: DataFrame, p: NearDup) -> DataFrame:
-    """The pairs (a, b) whose signatures agree in a share of at least ``p.floor``, and the share."""
+def _bands(own: DataFrame, p: NearDup) -> DataFrame:
+    """(key, doc_id, n): the band keys of each signature, a hash of a band's number and its minima."""
+    key = F.expr(f"explode(transform(sequence(0, {p.bands - 1}), k -> xxhash64(k, substring(sig, {2 * p.rows} * k + 1, {2 * p.rows}))))")
+    return own.select(key.alias("key"), "doc_id", "n")
+
+
+def _similar(pairs: DataFrame, own: DataFrame, p: NearDup) -> DataFrame:
+    """The pairs (a, b) whose set sizes allow the threshold and whose signatures agree in a share of at least ``p.floor``, and the share."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -104,42 +103,42 @@ def _similar(pairs: DataFrame, sigs: DataFrame, p: NearDup) -> DataFrame:
             share = (one == two).mean(axis=1)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(share)], names=["a", "b", "share"]).filter(pa.array(share >= p.floor))
 
-    left, right = sigs.select(F.col("doc_id").alias("a"), F.col("sig").alias("sa")), sigs.select(F.col("doc_id").alias("b"), F.col("sig").alias("sb"))
-    return pairs.join(right, "b").join(left, "a").select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long, share double")
+    left, right = (own.select(F.col("doc_id").alias(k), F.col("n").alias(f"n{k}"), F.col("sig").alias(f"s{k}")) for k in "ab")
+    rows = pairs.join(right, "b").join(left, "a").where(F.expr(f"100 * least(na, nb) >= {p.percent} * greatest(na, nb)"))
+    return rows.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long, share double")
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, p: NearDup = NearDup()) -> DataFrame:
+def confirmed(pairs: DataFrame, texts: DataFrame, p: NearDup = NearDup()) -> DataFrame:
     """The pairs (a, b) that reach the threshold on their full shingle sets.
 
-    The partners of ``a`` are split into chunks by hash, so that a document of very many partners is spread over
-    tasks; every chunk gets the text of ``a`` once. A task streams its rows and holds one set at a time besides
-    that of ``a``.
+    The partners of ``a`` are spread over groups by hash, so that a document of very many partners meets them in many
+    tasks; a group gets the text of ``a`` once, so no more than two texts are shipped for a pair. A task streams its
+    rows and holds one set at a time besides that of ``a``.
     """
     percent, size = p.percent, p.size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hub, own = None, np.zeros(0, np.uint64)
+        hub, own = None, []
         for batch in batches:
             a, chunk, b = (batch.column(k).to_pylist() for k in range(3))
             good_a, good_b = [], []
             for k, found in enumerate(_sets(batch, "text", size)):
                 if b[k] is None:
-                    hub, own = (a[k], chunk[k]), found
-                elif hub == (a[k], chunk[k]) and len(found) and len(own):
-                    both = len(np.intersect1d(own, found, assume_unique=True))
-                    if 100 * both >= percent * (len(own) + len(found) - both):
+                    own = [*own, found] if hub == (a[k], chunk[k]) else [found]
+                    hub = a[k], chunk[k]
+                elif hub == (a[k], chunk[k]) and len(found):
+                    both = [(x, len(np.intersect1d(x, found, assume_unique=True))) for x in own]
+                    if any(len(x) and 100 * m >= percent * (len(x) + len(found) - m) for x, m in both):
                         good_a.append(a[k])
                         good_b.append(b[k])
             yield pa.RecordBatch.from_arrays([pa.array(good_a, pa.int64()), pa.array(good_b, pa.int64())], names=["a", "b"])
 
-    sizes = pairs.groupBy("a").agg(F.ceil(F.count("*") / p.chunk).cast("long").alias("chunks"))
-    dealt = pairs.join(sizes, "a").select("a", F.pmod(F.xxhash64("b"), F.col("chunks")).alias("chunk"), "b")
+    dealt = pairs.select("a", F.pmod(F.xxhash64("b"), F.lit(p.chunks)).alias("chunk"), "b")
     need = dealt.select("a", "chunk", F.col("b").cast("long").alias("b"), F.col("b").alias("doc_id")).union(dealt.select("a", "chunk", F.lit(None).cast("long"), F.col("a")).distinct())
-    texts = docs.select("doc_id", "text")
     return (
         need.join(texts, "doc_id")
         .select("a", "chunk", "b", "text")
-        .repartition(width(docs.sparkSession), "a", "chunk")
+        .repartition(width(pairs.sparkSession), "a", "chunk")
         .sortWithinPartitions("a", "chunk", F.col("b").asc_nulls_first())
         .mapInArrow(run, "a long, b long")
     )
@@ -227,13 +226,18 @@ def _clusters(members: DataFrame, sigs: DataFrame, p: NearDup) -> DataFrame:
     return _compared(_dealt(members, "key", F.lit(1), p.block).join(sigs.select("doc_id", "sig"), "doc_id"), "sig", compare)
 
 
-def _links(members: DataFrame, docs: DataFrame, p: NearDup) -> DataFrame:
-    """Pairs of members of a cluster (cluster, doc_id, n, comp) in different components that reach the threshold."""
+def _links(members: DataFrame, texts: DataFrame, p: NearDup) -> DataFrame:
+    """Pairs of components of a cluster, of members (cluster, doc_id, n, comp) that reach the threshold."""
     percent, size = p.percent, p.size
 
     def compare(own: np.ndarray, n: np.ndarray, comp: np.ndarray, ids: np.ndarray, contents: list) -> Iterator[tuple[int, int]]:
         sets = list(_sets(pa.RecordBatch.from_arrays([pa.array(contents, pa.string())], names=["text"]), "text", size))
         sizes = np.array([len(x) for x in sets])
+        if not sizes.all():  # another text of a document may be empty
+            some = np.flatnonzero(sizes)
+            own, comp, sets, sizes = own[some], comp[some], [sets[k] for k in some], sizes[some]
+            if not len(some):
+                return
         _, codes = np.unique(np.concatenate(sets), return_inverse=True)
         ends = np.append(0, np.cumsum(sizes))
         right, apart = np.flatnonzero(own == own[-1]), _Apart()
@@ -247,41 +251,58 @@ def _links(members: DataFrame, docs: DataFrame, p: NearDup) -> DataFrame:
             near = (100 * both >= percent * (sizes[x] + sizes[right] - both)) & (comp[right] != comp[x])
             for y in right[near].tolist():
                 if apart.join(int(comp[x]), int(comp[y])):
-                    yield int(ids[x]), int(ids[y])
+                    yield int(comp[x]), int(comp[y])
 
-    return _compared(_dealt(members, "cluster", F.col("n"), p.load).join(docs.select("doc_id", "text"), "doc_id"), "text", compare)
+    return _compared(_dealt(members, "cluster", F.col("n"), p.load).join(texts, "doc_id"), "text", compare)
 
 
 def near_duplicates(docs: DataFrame, p: NearDup = NearDup()) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of ``docs`` (doc_id, text, anything else).
 
     A text that is null, empty or without words has an empty set: n_shingles 0, its own component, kept. Rows that
-    share a doc_id are one node of the graph. A row without doc_id is linked with nothing: component_id null, kept
+    share a doc_id are one node of the graph, which has the links of all their texts. A row without doc_id is linked with nothing: component_id null, kept
     false. Equal rows give equal rows; an empty table gives an empty one; other columns are not looked at.
     """
+    tables = Tables(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sigs = checkpoint(signatures(docs, p))
+    sigs = tables.put(signatures(docs, p))
     full = sigs.where("n_shingles > 0 and doc_id is not null")
-    classes = full.groupBy("fp1", "fp2", "n_shingles").agg(F.min("doc_id").alias("rep"))
-    classes = checkpoint(full.select("doc_id", "n_shingles", "fp1", "fp2").join(classes, ["fp1", "fp2", "n_shingles"]).select("doc_id", "n_shingles", "rep"))
-    heads = classes.where("doc_id = rep").select("doc_id").distinct()
-    own = checkpoint(full.join(heads, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select("doc_id", F.col("n_shingles").alias("n"), "sig", "bands"))
-
-    bands = own.select("doc_id", "n", F.explode("bands").alias("key"))
-    hubs = bands.groupBy("key").agg(F.min(F.struct("doc_id", "n")).alias("hub"), F.count("*").alias("size")).where("size > 1")
-    near_size = F.expr(f"100 * least(n, hub.n) >= {p.percent} * greatest(n, hub.n)")
-    stars = bands.join(hubs, "key").where(near_size & (F.col("hub.doc_id") != F.col("doc_id"))).select(F.col("hub.doc_id").alias("a"), F.col("doc_id").alias("b")).distinct()
-    texts = docs.where("doc_id is not null")
-    nearest = _similar(stars, own, p).groupBy("b").agg(F.max_by("a", F.struct("share", -F.col("a"))).alias("a")).select("a", "b")
-    links = checkpoint(confirmed(nearest, texts, p))
-    first = checkpoint(connected_components(links))
-
-    known = own.select("doc_id", "n", "bands").join(first.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("comp", F.coalesce("component", "doc_id"))
-    near = checkpoint(_clusters(known.select("doc_id", "n", "comp", F.explode("bands").alias("key")), own, p))
-    cluster = connected_components(near).select(F.col("node").alias("comp"), F.col("component").alias("cluster"))
-    more = checkpoint(_links(known.select("doc_id", "n", "comp").join(cluster, "comp"), texts, p))
-    last = connected_components(links.union(more))
-
-    label = classes.join(last.withColumnRenamed("node", "rep"), "rep", "left").select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
-    rest = sigs.where("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    return label.union(rest).select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"))
+    same = ["fp1", "fp2", "n_shingles"]
+    classes = tables.put(full.groupBy(*same).agg(F.min("doc_id").alias("rep")))
+    rest = sigs.where("n_shingles = 0 or doc_id is null").select("doc_id", F.col("n_shingles").alias("n"), F.lit(None).cast("long").alias("rep"), F.lit(None).cast("binary").alias("sig"))
+    own_sig = F.when(F.col("doc_id") == F.col("rep"), F.col("sig")).alias("sig")
+    members = tables.put(full.join(classes, same).select("doc_id", F.col("n_shingles").alias("n"), "rep", own_sig).union(rest))
+    tables.drop(sigs, classes)
+    own = members.where("sig is not null").select("doc_id", "n", "sig")
+
+    bands = _bands(own, p)
+    hubs = tables.put(bands.groupBy("key").agg(F.min("doc_id").alias("hub"), F.max("doc_id").alias("last")).where("hub < last").select("key", "hub"))
+    shared = tables.put(bands.join(hubs, "key"))
+    tables.drop(hubs)
+    ids = shared.select("doc_id").distinct()
+    texts = tables.put(docs.join(ids, "doc_id", "left_semi"))
+    own = tables.put(own.join(ids, "doc_id", "left_semi"))
+    stars = shared.where("hub < doc_id").select(F.col("hub").alias("a"), F.col("doc_id").alias("b")).distinct()
+    nearest = tables.put(_similar(stars, own, p).groupBy("b").agg(F.max_by("a", F.struct("share", -F.col("a"))).alias("a")).select("a", "b"))
+    first = tables.put(connected_components(confirmed(nearest, texts, p)))
+    tables.drop(nearest)
+
+    known = tables.put(shared.select("key", "doc_id", "n").join(first.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("key", "doc_id", "n", F.coalesce("component", "doc_id").alias("comp")))
+    tables.drop(shared)
+    mixed = known.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
+    apart = tables.put(known.join(mixed, "key"))
+    cluster = connected_components(_clusters(apart, own, p)).select(F.col("node").alias("comp"), F.col("component").alias("cluster"))
+    near = tables.put(known.select("doc_id", "n", "comp").distinct().join(cluster, "comp"))
+    more = tables.put(_links(near, texts, p))
+    # the texts of one doc_id are one node
+    ends = members.where("rep is not null").groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a < b").select("doc_id")
+    twice = tables.put(members.where("rep is not null").join(ends, "doc_id").select(F.col("rep").alias("a"), F.col("doc_id").alias("b")).distinct())
+    if more.isEmpty() and twice.isEmpty():
+        last = first
+    else:
+        last = connected_components(first.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more).union(twice))
+    label = members.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("rep", "doc_id").alias("rep")).join(last.withColumnRenamed("node", "rep"), "rep", "left")
+    label = label.select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
+    result = checkpoint(label.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept")))
+    tables.clear()
+    return result

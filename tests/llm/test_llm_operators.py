@@ -65,7 +65,7 @@ def test_near_duplicates_in_a_cluster(spark):
             if a < b and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]):
                 x, y = sorted((find(a), find(b)))
                 up[y] = x
-    got = {r.doc_id: r.component_id for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), neardup.NearDup(block=16, load=1000, chunk=8)).collect()}
+    got = {r.doc_id: r.component_id for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), neardup.NearDup(block=16, load=1000, chunks=8)).collect()}
     assert got == {k: find(k) for k in sets}
 
 
