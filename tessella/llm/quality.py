@@ -99,9 +99,9 @@ hit AS (SELECT DISTINCT r, i + k AS p FROM gram, (SELECT unnest([0, 1, 2]) AS k)
 rep AS (SELECT r, count(*) AS n FROM hit GROUP BY r),
 u AS (SELECT r, host, unnest(raw) AS l FROM w),
 ln AS (SELECT r, host, md5(lower(array_to_string(regexp_extract_all(l, {word}), ' '))) AS line, len(regexp_extract_all(l, {word})) AS n FROM u),
-sk AS (SELECT r, host, min(line) AS sketch FROM ln GROUP BY r, host),
-hd AS (SELECT host, count(DISTINCT sketch) AS host_docs FROM sk GROUP BY host),
-fr AS (SELECT ln.host, line, count(DISTINCT sketch) AS docs FROM ln JOIN sk USING (r) GROUP BY ln.host, line),
+cp AS (SELECT r, host, md5(text) AS copy FROM w WHERE len(raw) > 0),
+hd AS (SELECT host, count(DISTINCT copy) AS host_docs FROM cp GROUP BY host),
+fr AS (SELECT ln.host, line, count(DISTINCT copy) AS docs FROM ln JOIN cp USING (r) GROUP BY ln.host, line),
 top AS (SELECT fr.host, line FROM fr JOIN hd USING (host) WHERE docs >= {limits.min_docs} AND docs > {limits.max_share}::DOUBLE * host_docs),
 gone AS (SELECT r, sum(n) AS n FROM ln JOIN top USING (host, line) GROUP BY r),
 b AS (SELECT doc_id, len(words)::BIGINT AS n_words, length(array_to_string(words, ''))::BIGINT AS word_chars,
