@@ -26,11 +26,12 @@ def packed_rows(docs: DataFrame, capacity: int = 4096, end_id: int = 49407, pad_
     best fit decreasing over a segment tree of free capacities. ``ids`` and ``positions`` are matrix rows of
     ``capacity`` little-endian 16-bit numbers, padded with ``pad_id`` and 0; positions start anew in each segment;
     ``cu_seqlens`` has 0 and the end of every segment. sequence_id is unique: the task's number times 2^32 and the
-    row's. Null and empty texts are one end token; a null doc_id is carried along; no rows give no rows.
+    row's. The string of a special token in a text is ordinary text here: else a text could hold the end token and so
+    end its own segment. Null and empty texts are one end token; a null doc_id is carried along; no rows give no rows.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes, end, step = encoder(vocabulary, "<u2"), end_id.to_bytes(2, "little"), 2 * capacity
+        codes, end, step = encoder(vocabulary, "<u2", special=False), end_id.to_bytes(2, "little"), 2 * capacity
         count = np.arange(capacity, dtype="<u2")
         task, held, tokens, done = TaskContext.get().partitionId(), [], 0, 0
         pad = pad_id.to_bytes(2, "little")

@@ -2,7 +2,9 @@
 
 The pre-tokenizer of such a file drops white space and no token spans it, so a text's ids are those of its chunks
 between white space in turn. Chunks repeat; each is given to the library once per worker and its ids are kept as
-bytes. A chunk that ends in ASCII punctuation after a letter is two chunks: no token spans that place either.
+bytes. A chunk that ends in ASCII punctuation after a letter is two chunks, if that letter is still one once the chunk
+is normalised (lower-casing may leave a combining mark there): no token spans that place either. Texts that hold the
+string of a special token go to the library whole.
 """
 
 from __future__ import annotations
@@ -13,18 +15,23 @@ import numpy as np
 
 _MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 _ODD = ("\x1c", "\x1d", "\x1e", "\x1f")
-_encoders: dict[tuple[str, str], "WordEncoder"] = {}
+_encoders: dict[tuple[str, str, bool], "WordEncoder"] = {}
 
 
 class WordEncoder:
-    """``encode(texts)`` gives each text's ids as little-endian bytes of ``kind``. At most ``most`` chunks are kept."""
+    """``encode(texts)`` gives each text's ids as little-endian bytes of ``kind``. At most ``most`` chunks are kept.
 
-    def __init__(self, path: str, kind: str, most: int = 1_000_000) -> None:
+    With ``special``, as by the library's default, the string of a special token in a text is that token; without, it
+    is ordinary text.
+    """
+
+    def __init__(self, path: str, kind: str, special: bool, most: int = 1_000_000) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.tokenizer.encode_special_tokens = not special
+        self.strings = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()] if special else []
         self.kind, self.most = np.dtype(kind), most
         self.ends = np.zeros(self.tokenizer.get_vocab_size(), dtype=bool)
         for token, at in self.tokenizer.get_vocab().items():
@@ -49,11 +56,15 @@ class WordEncoder:
                 out.update(zip(rest, self._library(rest), strict=True))
         return [out[w] for w in words]
 
+    def _letter(self, core: str) -> bool:
+        """Whether a chunk ends in a letter, normalised as well as written."""
+        return core[-1].isalpha() and (core[-1].isascii() or self.tokenizer.normalizer.normalize_str(core)[-1:].isalpha())
+
     def _learn(self, chunks: set[str]) -> None:
         split, need = [], set()
         for c in chunks:
             core = c.rstrip(_MARKS)
-            if not core or len(core) == len(c) or not core[-1].isalpha() or ord(core[-1]) >= 0x250:
+            if not core or len(core) == len(c) or not self._letter(core):
                 core = c
             tail = c[len(core) :]
             core = core.lower() if core.isascii() else core
@@ -72,7 +83,7 @@ class WordEncoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         out = []
         for text in texts:
-            if any(c in text for c in _ODD):  # str.split() would cut there, the pattern doesn't
+            if any(c in text for c in _ODD) or any(t in text for t in self.strings):  # str.split() would cut at the odd ones, the pattern doesn't
                 out += self._library([text])
                 continue
             words = text.split()
@@ -87,8 +98,9 @@ class WordEncoder:
         return out
 
 
-def encoder(path: str, kind: str) -> WordEncoder:
+def encoder(path: str, kind: str, special: bool = True) -> WordEncoder:
     """The worker's encoder for a file."""
-    if (path, kind) not in _encoders:
-        _encoders[path, kind] = WordEncoder(path, kind)
-    return _encoders[path, kind]
+    key = path, kind, special
+    if key not in _encoders:
+        _encoders[key] = WordEncoder(*key)
+    return _encoders[key]

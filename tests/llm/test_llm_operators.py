@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import zlib
 
 import numpy as np
 import public_tokenizers
@@ -13,6 +14,7 @@ from tokenizers import Tokenizer
 from tessella.llm import ann, byte_bpe, chat, langid, licences, lm_score, neardup, pack_documents, pack_matrix, quality
 from tessella.llm.graph import connected_components
 from tessella.llm.packing import CapacityTree, best_fit_decreasing, plan_packing
+from tessella.llm.wordbpe import encoder
 
 WORDS = [f"w{i}" for i in range(400)]
 LONG = " ".join(WORDS)
@@ -153,6 +155,68 @@ def test_packing(docs, none):
     assert pack_documents.pack(none).count() == 0
 
 
+def odd_texts(n):
+    """Words of letters, marks, combining marks, letters that lower-case to two code points, white space, special tokens."""
+    rng = np.random.default_rng(11)
+    parts = ["a", "KAD\u0130", "\u0130", "stra\u00dfe", "e\u0301", "\u0301", "\u0391\u03a3", "it's", "12", "\u4e2d\u6587", "\u01c5", "\u1e9e", ",", ".", "!?", "'", "'ll", "_", "\u00bd", "\ufb01n", "\U0001f600", "<|endoftext|>", "<|startoftext|>", "<|", " ", " ", " ", "\n", "\t", "\u00a0", "\x1c", "\u2003", "therhean", "Esndha"]
+    return ["".join(rng.choice(parts, int(rng.integers(1, 24)))) for _ in range(n)]
+
+
+@pytest.mark.parametrize("special", [True, False])
+def test_ids_of_words_are_the_librarys(special):
+    library = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    library.encode_special_tokens = not special
+    texts = ["a <|endoftext|> b", "KAD\u0130,", *odd_texts(10_000)]
+    got = encoder(public_tokenizers.path("word_bpe_49k.json"), "<u4", special).encode(texts)
+    assert [np.frombuffer(x, "<u4").tolist() for x in got] == [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_packing_against_the_library(spark):
+    """Each piece's start, length and checksum by the library's ids, and offsets without gaps or overlaps."""
+    library = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    rng = np.random.default_rng(12)
+    rows = [(k, " ".join(rng.choice(WORDS, int(n)))) for k, n in enumerate(rng.integers(0, 60, 200))] + list(enumerate(odd_texts(100), 200)) + [(300, LONG * 20), (301, None), (302, ""), (7, "again"), (7, "again")]
+    got = pack_documents.pack(spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, length string"), capacity=64).collect()
+    want = []
+    for doc, text in rows:
+        ids = np.array([*library.encode(text or "", add_special_tokens=False).ids, 1], "<u4")
+        want += [(doc, k, s, len(ids[s : s + 64]), zlib.crc32(ids[s : s + 64].tobytes())) for k, s in enumerate(range(0, len(ids), 64))]
+    assert sorted((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in got) == sorted(want)
+    held = {}
+    for r in sorted(got, key=lambda r: (r.sequence_id, r.offset)):
+        assert r.offset == held.get(r.sequence_id, 0)
+        held[r.sequence_id] = r.offset + r.length
+    assert max(held.values()) <= 64 and len(held) <= least_sequences(np.array([r.length for r in got]), 64) + 1
+
+
+def test_matrix_of_repeated_rows_and_long_texts(spark):
+    """Windows of few tokens, repeated rows and a text over many rows: every id once, in order; fill of the rows."""
+    library = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    library.encode_special_tokens = True
+    rng = np.random.default_rng(13)
+    rows = [(k, " ".join(rng.choice(WORDS, int(n)))) for k, n in enumerate(rng.integers(0, 40, 400))] + [(7, "again"), (7, "again"), (500, LONG * 9), (501, "a <|endoftext|> b"), (502, None)]
+    got = pack_matrix.packed_rows(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), capacity=256, window=8192).collect()
+    found, used = [], 0
+    for r in got:
+        ids = np.frombuffer(r.ids, "<u2")
+        used += r.n_tokens
+        assert not ids[r.n_tokens :].any() and len(r.doc_ids) == r.n_segments
+        found += [(doc, piece, start, ids[a:b].tolist()) for doc, piece, start, a, b in zip(r.doc_ids, r.pieces, r.starts, r.cu_seqlens[:-1], r.cu_seqlens[1:], strict=True)]
+    want = []
+    for doc, text in rows:
+        ids = [*library.encode(text or "", add_special_tokens=False).ids, 49407]
+        want += [(doc, k, s, ids[s : s + 256]) for k, s in enumerate(range(0, len(ids), 256))]
+    assert sorted(found) == sorted(want)
+    assert used >= 0.95 * 256 * len(got)
+
+
+def test_written_matrices(spark, docs, tmp_path):
+    pack_matrix.write_packed(docs, str(tmp_path / "packed"), capacity=64)
+    again = spark.read.parquet(str(tmp_path / "packed")).collect()
+    key = lambda r: (r.n_tokens, r.doc_ids == [None], str(r.doc_ids), bytes(r.ids), bytes(r.positions))
+    assert sorted(map(key, again)) == sorted(map(key, pack_matrix.packed_rows(docs, capacity=64).collect()))
+
+
 def test_matrix(docs, none):
     rows = pack_matrix.packed_rows(docs, capacity=64, window=128).collect()
     library = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
