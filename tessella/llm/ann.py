@@ -1,6 +1,7 @@
 """Nearest neighbours by cosine: anisotropic product quantisation, four-bit table scans, exact reranking.
 
-Unit vectors are quantised in sub-spaces of a few dimensions with 16 centres each. The loss weighs the part of the
+Only ids and codes of rows meet the queries, in blocks; the vectors are joined to the few pairs that the table scores
+let through, and score them exactly. Unit vectors are quantised in sub-spaces of a few dimensions with 16 centres each. The loss weighs the part of the
 residual that is parallel to the vector more than the rest, as that part is what moves the scores of its best queries.
 """
 
@@ -8,9 +9,9 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -27,11 +28,10 @@ class Ann:
     #: Inner products from here up should be kept; sets the weight of the parallel residual.
     threshold: float = 0.2
     rounds: int = 8
-    #: Rows and queries of a block; first rows reranked; the share of a query's rows whose error the margin covers.
-    rows: int = 4096
-    queries: int = 512
-    first: int = 64
-    cover: float = 0.999
+    #: Rows and queries of a block; the share of a query's best rows whose error either margin covers.
+    rows: int = 1 << 16
+    queries: int = 128
+    cover: float = 0.99
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -40,7 +40,7 @@ def _unit(x: np.ndarray) -> np.ndarray:
 
 
 class Quantiser:
-    """Centres of every sub-space and the margin of the table scores; ``fit`` and ``codes`` take unit vectors."""
+    """Centres of every sub-space and the margins of the table scores; ``fit`` and ``codes`` take unit vectors."""
 
     def __init__(self, p: Ann, d: int) -> None:
         self.p, self.d = p, d
@@ -63,7 +63,8 @@ class Quantiser:
         exact, table = probe @ x.T, np.einsum("qmd,nmd->qn", self._split(probe), self._restore(codes), optimize=True)
         best = np.argsort(-exact, axis=1)[:, 1:65]
         error = np.take_along_axis(exact - table, best, axis=1)
-        self.margin = float(np.quantile(error, self.p.cover)) if error.size else 1.0
+        #: How far below and above its exact score a good row's table score may lie.
+        self.below, self.above = (max(0.0, float(np.quantile(e, self.p.cover))) if error.size else 1.0 for e in (error, -error))
         return self
 
     def _restore(self, codes: np.ndarray) -> np.ndarray:
@@ -126,29 +127,17 @@ def usable(vectors: DataFrame) -> DataFrame:
     return vectors.select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v")).where("vec_id is not null and v is not null").where(F.coalesce(good, F.lit(False)))
 
 
-def _matrix(column: pd.Series) -> np.ndarray:
-    return np.frombuffer(b"".join(column), dtype=np.float64).reshape(len(column), -1)
+def _matrix(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), dtype=np.float64).reshape(len(column), -1)
 
 
-def nearest(vectors: DataFrame, is_query, k: int = 5, p: Ann = Ann()) -> DataFrame:
-    """(query_id, rank, vec_id, score): the ``k`` nearest rows of each row of ``vectors`` (vec_id, embedding, ...) that
-    the condition ``is_query`` on vec_id takes, other than itself; the larger cosine first, then the smaller vec_id.
-
-    Vectors that are null, zero, hold null or non-finite components or differ in length from the first of the sample
-    take no part; with no others there are no rows. Of equal vectors only the ``k`` + 1 of smallest vec_id can be
-    among anyone's nearest, so no more go on. Rows and queries meet in blocks of bounded size: the table scan's best
-    rows are scored exactly, then every row whose table score comes within the margin of the k-th of these.
-    """
-    spark = vectors.sparkSession
-    good = checkpoint(usable(vectors))
-    first = Window.partitionBy("v").orderBy("vec_id")
-    sample = [r.v for r in good.orderBy(F.xxhash64("vec_id"), "vec_id").limit(p.sample).collect()]
-    d = len(sample[0]) if sample else 0
-    schema = "query_id long, vec_id long, score double"
-    if not d:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    fitted = Quantiser(p, d).fit(_unit([x for x in sample if len(x) == d]))
-    shared = spark.sparkContext.broadcast(fitted)
+def _of_length(good: DataFrame, d: int, n: int, is_query, k: int, p: Ann) -> DataFrame:
+    """(query_id, vec_id, score) with the nearest rows of the queries among the ``n`` vectors of length ``d`` of ``good``."""
+    spark = good.sparkSession
+    same = good.where(F.size("v") == d)
+    chosen = F.xxhash64("vec_id", F.lit(17)).bitwiseAND(F.lit((1 << 31) - 1)) < int(min(1.0, p.sample / n) * (1 << 31))
+    sample = [r.v for r in same.where(chosen).select("v").collect()] or [r.v for r in same.select("v").limit(1).collect()]
+    shared = spark.sparkContext.broadcast(Quantiser(p, d).fit(_unit(sample)))
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -156,37 +145,69 @@ def nearest(vectors: DataFrame, is_query, k: int = 5, p: Ann = Ann()) -> DataFra
                 x = batch.column(1).flatten().to_numpy().reshape(batch.num_rows, d)
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r.tobytes() for r in x], pa.binary()), pa.array([c.tobytes() for c in shared.value.codes(_unit(x))], pa.binary())], names=["vec_id", "v", "code"])
 
-    same = good.where(F.size("v") == d)
-    base = same.withColumn("copy", F.row_number().over(first)).where(F.col("copy") <= k + 1).select("vec_id", "v").mapInArrow(index, "vec_id long, v binary, code binary")
+    copies = Window.partitionBy("v").orderBy("vec_id")
+    base = same.withColumn("copy", F.row_number().over(copies)).where(F.col("copy") <= k + 1).select("vec_id", "v").mapInArrow(index, "vec_id long, v binary, code binary")
     asked = same.where(is_query(F.col("vec_id"))).select("vec_id", "v").mapInArrow(index, "vec_id long, v binary, code binary").drop("code")
-    base, asked = checkpoint(base), checkpoint(asked.distinct())
-    row_blocks, query_blocks = (max(1, -(-t.count() // n)) for t, n in ((base, p.rows), (asked, p.queries)))
+    base, asked = checkpoint(base), checkpoint(asked)
+    row_blocks, query_blocks = (max(1, -(-t.count() // m)) for t, m in ((base, p.rows), (asked, p.queries)))
     # both sides hold i and j as int: keys of other types hash to other partitions, where a cogroup misses them
-    deal = lambda t, own, n, other, m: t.withColumn(own, F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(m - 1))))
-    left = deal(base, "i", row_blocks, "j", query_blocks).groupBy("i", "j")
+    deal = lambda t, own, m, other, o: t.withColumn(own, F.pmod(F.xxhash64("vec_id"), F.lit(m)).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(o - 1))))
+    left = deal(base.drop("v"), "i", row_blocks, "j", query_blocks).groupBy("i", "j")
     right = deal(asked, "j", query_blocks, "i", row_blocks).groupBy("i", "j")
-
-    def scan(rows: pd.DataFrame, ask: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(rows) and len(ask):
-            ids, raw, codes = rows["vec_id"].to_numpy(), _matrix(rows["v"]), np.frombuffer(b"".join(rows["code"]), np.uint8).reshape(len(rows), -1)
-            norm, q = np.linalg.norm(raw, axis=1), _matrix(ask["v"])
-            length, tables, columns = np.linalg.norm(q, axis=1), shared.value.tables(_unit(q)), np.ascontiguousarray(codes.T)
-            for n, own in enumerate(ask["vec_id"].to_numpy()):
+    margin = shared.value.below + shared.value.above
+
+    def scan(rows: pa.Table, ask: pa.Table) -> pa.Table:
+        found: list[tuple[np.ndarray, ...]] = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32))]
+        if rows.num_rows and ask.num_rows:
+            ids, codes = rows.column("vec_id").to_numpy(), np.frombuffer(b"".join(rows.column("code").to_pylist()), np.uint8).reshape(rows.num_rows, -1)
+            tables, columns = shared.value.tables(_unit(_matrix(ask.column("v").combine_chunks()))), np.ascontiguousarray(codes.T)
+            need = k + len(ids) - len(np.unique(ids))  # rows that surely hold k ids
+            for m, own in enumerate(ask.column("vec_id").to_pylist()):
                 rough = np.zeros(len(ids), dtype=np.float32)
-                for table, code in zip(tables[n], columns, strict=True):
+                for table, code in zip(tables[m], columns, strict=True):
                     rough += table[code]
                 rough[ids == own] = -np.inf
-                best = np.argpartition(-rough, p.first)[: p.first] if len(ids) > p.first else np.arange(len(ids))
-                exact = (raw[best] @ q[n]) / (norm[best] * length[n])
-                bound = np.partition(exact, -k - 1)[-k - 1] if len(best) > k + 1 else -np.inf
-                best = np.flatnonzero(rough >= bound - shared.value.margin)
-                best = best[ids[best] != own]
-                exact = (raw[best] * q[n]).sum(axis=1) / (norm[best] * length[n])
-                take = np.lexsort((ids[best], -exact))[:k]
-                out.append(pd.DataFrame({"query_id": own, "vec_id": ids[best[take]], "score": exact[take]}))
-        return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
-
-    found = left.cogroup(right).applyInPandas(scan, schema).distinct()
+                least = np.partition(rough, -need)[-need] if len(ids) > need else -np.inf
+                best = np.flatnonzero((rough >= least - margin) & (ids != own))
+                found.append((np.full(len(best), own), ids[best], rough[best]))
+        return pa.table([np.concatenate(c) for c in zip(*found, strict=True)], names=["query_id", "vec_id", "rough"])
+
+    pairs = left.cogroup(right).applyInArrow(scan, "query_id long, vec_id long, rough float")
+    pairs = checkpoint(pairs.groupBy("query_id", "vec_id").agg(F.max("rough").alias("rough")))
+    top = Window.partitionBy("query_id").orderBy(F.col("rough").desc(), "vec_id")
+    least = pairs.withColumn("r", F.row_number().over(top)).where(F.col("r") <= k).groupBy("query_id").agg(F.min("rough").alias("least"))
+    pairs = pairs.join(least, "query_id").where(F.col("rough") >= F.col("least") - F.lit(margin)).select("query_id", "vec_id")
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                q, x = _matrix(batch.column(2)), _matrix(batch.column(3))
+                exact = (x * q).sum(axis=1) / (np.linalg.norm(x, axis=1) * np.linalg.norm(q, axis=1))
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(exact)], names=["query_id", "vec_id", "score"])
+
+    both = pairs.join(asked.select(F.col("vec_id").alias("query_id"), F.col("v").alias("q")), "query_id").join(base.select("vec_id", "v"), "vec_id")
+    exact = both.select("query_id", "vec_id", "q", "v").mapInArrow(score, "query_id long, vec_id long, score double")
+    return exact.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+
+
+def nearest(vectors: DataFrame, is_query, k: int = 5, p: Ann = Ann()) -> DataFrame:
+    """(query_id, rank, vec_id, score): the ``k`` nearest rows of each row of ``vectors`` (vec_id, embedding, ...) that
+    the condition ``is_query`` on vec_id takes, other than itself; the larger cosine first, then the smaller vec_id.
+
+    Vectors that are null, zero or hold null or non-finite components take no part; those of another length have no
+    cosine with a query and are searched among themselves. Equal rows count once; a vec_id of several vectors has the
+    largest score of any of them, and is never its own neighbour; other columns are not looked at. With no others
+    there are no rows. Of equal vectors only the ``k`` + 1 of smallest vec_id can be among anyone's nearest, so no more go on.
+    Codes and queries meet in blocks of bounded size; the rows whose table score comes within both margins of a
+    query's k-th are joined with their vectors and scored exactly.
+    """
+    spark = vectors.sparkSession
+    good = checkpoint(usable(vectors).distinct())
+    found = [_of_length(good, r.d, r.n, is_query, k, p) for r in good.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).orderBy("d").collect()]
+    if not found:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    rows = reduce(DataFrame.union, found)
+    if len(found) > 1:  # a vec_id may have vectors of several lengths
+        rows = rows.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -9,6 +9,7 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tessella.llm import ann, byte_bpe, chat, langid, licences, lm_score, neardup, pack_documents, pack_matrix, quality
@@ -272,6 +273,45 @@ def test_nearest(spark):
     assert ann.nearest(spark.createDataFrame([], "vec_id long, embedding array<double>"), lambda i: i % 50 == 0).count() == 0
 
 
+def test_nearest_of_odd_rows(spark):
+    """Repeated rows, one id with two vectors, more than k + 1 equal vectors, two lengths, a column of a clashing name."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(40, 4))
+    rows = [(k, v.tolist()) for k, v in enumerate(x)] + [(k, [1.0, 2.0, 3.0, 4.0]) for k in range(50, 62)] * 3 + [(7, x[0].tolist()), (100, [1.0, 1.0]), (150, [1.0, 0.0]), (101, [-1.0, 1.0])]
+    got = {}
+    for r in ann.nearest(spark.createDataFrame([(*r, "x") for r in rows], "vec_id long, embedding array<double>, rank string"), lambda i: i % 50 == 0, 5).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
+    for q in (0, 50, 100, 150):
+        best = {}
+        for _, a in [r for r in rows if r[0] == q]:
+            for i, b in rows:
+                if i != q and len(a) == len(b):
+                    best[i] = max(best.get(i, -2), round(float(np.dot(a, b) / (np.linalg.norm(a) * np.linalg.norm(b))), 12))
+        want = sorted(best.items(), key=lambda kv: (-kv[1], kv[0]))[:5]
+        assert [i for _, i, _ in sorted(got[q])] == [i for i, _ in want]
+        assert [round(s, 9) for _, _, s in sorted(got[q])] == [round(s, 9) for _, s in want]
+
+
+def test_nearest_recall_on_the_table(spark):
+    """Every query of the embeddings table against brute force."""
+    table = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
+    got = {}
+    for r in ann.nearest(table, lambda i: i % 50 == 0).collect():
+        got.setdefault(r.query_id, {})[r.vec_id] = r.score
+    rows = [(r.vec_id, r.embedding) for r in ann.usable(table).select("vec_id", F.col("v").alias("embedding")).collect()]
+    ids, x = np.array([r[0] for r in rows]), np.array([r[1] for r in rows])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    hit = total = 0
+    for q in ids[ids % 50 == 0]:
+        score = x @ x[ids == q][0]
+        score[ids == q] = -9
+        top = np.lexsort((ids, -np.round(score, 12)))[:5]
+        hit += sum(ids[i] in got[q] for i in top)
+        total += 5
+        assert all(abs(got[q][ids[i]] - score[i]) < 1e-9 for i in top if ids[i] in got[q])
+    assert total and hit >= 0.9 * total
+
+
 def test_byte_bpe(docs, none):
     got = {r.doc_id: r for r in byte_bpe.decode(byte_bpe.encode(docs, size=50)).collect()}
     whole = {r.doc_id: r for r in byte_bpe.encode(docs).collect()}
