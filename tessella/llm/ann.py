@@ -31,7 +31,7 @@ class Ann:
     #: Rows and queries of a block; the share of a query's best rows whose error either margin covers.
     rows: int = 1 << 16
     queries: int = 128
-    cover: float = 0.99
+    cover: float = 0.95
 
 
 def _unit(x: np.ndarray) -> np.ndarray:

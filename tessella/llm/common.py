@@ -65,6 +65,11 @@ def words(data: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tuple[np
 
     ``offsets`` are positions in ``data``; equal words have equal hashes in every text, task and run.
     """
+    return word_places(data, offsets, lower)[:2]
+
+
+def word_places(data: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """What ``words`` gives, and where each word begins in ``data`` and its length in bytes."""
     lo, hi = int(offsets[0]), int(offsets[-1])
     block = data[lo:hi]
     ink = ~WHITE[block]
@@ -77,7 +82,7 @@ def words(data: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tuple[np
     starts = np.flatnonzero(ink & first)
     counts = np.diff(np.searchsorted(starts, offsets - lo))
     if not len(starts):
-        return np.zeros(0, np.uint64), counts
+        return np.zeros(0, np.uint64), counts, np.zeros(0, np.int64), np.zeros(0, np.int64)
     place = np.cumsum(ink)
     letters = block[ink]
     begin = place[starts] - 1
@@ -86,7 +91,13 @@ def words(data: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tuple[np
     powers = _POWERS if longest <= len(_POWERS) else np.cumprod(np.full(longest, STEP, dtype=np.uint64))
     within = np.arange(len(letters), dtype=np.int64) - np.repeat(begin, sizes)
     values = BYTE_KEYS[LOWER[letters] if lower else letters] * powers[within]
-    return mix(np.add.reduceat(values, begin) + sizes.astype(np.uint64)), counts
+    return mix(np.add.reduceat(values, begin) + sizes.astype(np.uint64)), counts, starts + lo, sizes
+
+
+def steps(first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The places first, first + 1, ... of each run of ``size``, one run after another."""
+    ends = np.cumsum(size)
+    return np.arange(int(ends[-1]) if len(ends) else 0) - np.repeat(ends - size - first, size)
 
 
 def shingles(hashes: np.ndarray, size: int) -> np.ndarray:

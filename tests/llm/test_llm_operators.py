@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -12,7 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tessella.llm import ann, byte_bpe, chat, langid, licences, lm_score, neardup, pack_documents, pack_matrix, quality
+from tessella.llm import ann, byte_bpe, chat, langid, licences, lm_score, mixer, neardup, pack_documents, pack_matrix, quality
 from tessella.llm.graph import connected_components
 from tessella.llm.packing import CapacityTree, best_fit_decreasing, plan_packing
 from tessella.llm.wordbpe import encoder
@@ -332,42 +334,92 @@ def test_licences(spark, none):
 def test_lm_score(docs, none):
     got = {r.doc_id: r for r in lm_score.score(docs, langid.held_out("doc_id", 7) == False).collect()}  # noqa: E712
     assert got[4].n_tokens == got[5].n_tokens == got[6].n_tokens == 1 and got[1].n_tokens == 401
-    assert all(r.score < 0 and r.base_score < 0 for r in got.values()) and lm_score.score(none, langid.held_out("doc_id", 7)).count() == 0
-    words = re.findall(r"[^\x20\x09-\x0D]+", " A  b\tC\n")
-    assert bytes(lm_score.canonical(np.frombuffer(b" A  b\tC\n", np.uint8))[:-1].astype(np.uint8)) == " ".join(words).lower().encode()
-
-
-def test_lm_score_by_brute_force(spark):
-    """More contexts than 2^18, over several pieces, against counts in a dictionary of whole contexts."""
-    rng = np.random.default_rng(5)
-    texts = ["".join(rng.choice(list("abcdefghijklmnopqrst "), 75_000, p=[0.045] * 20 + [0.1])) for _ in range(4)] + ["abc abd abc", "", LONG]
-    counts = {}
-
-    def decisions(text):
-        s = lm_score.canonical(np.frombuffer(text.encode(), np.uint8)).tolist()
-        word, out = (), []
-        for i, x in enumerate(s):
-            past = tuple(s[max(0, i - 5) : i])
-            contexts = [(m, past[-k:]) for m, k in enumerate((1, 2, 3, 5))] + [(4, word)]
-            a, n = lm_score.FIRST[x], lm_score.DEPTH[x]
-            out += [([(*c, node) for c in contexts], bit) for node, bit in zip(lm_score.NODE[a : a + n].tolist(), lm_score.OUTCOME[a : a + n].tolist(), strict=True)]
-            word = (" ",) if x == 32 else (*word, x)
-        return out, lm_score.DEPTH[s]
-
-    for text in texts[:5]:
-        for keys, bit in decisions(text)[0]:
-            for key in keys:
-                counts.setdefault(key, [0, 0])[bit] += 1
-    assert len({k[1] for k in counts if k[0] == 3}) > 1 << 18
-    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    got = {r.doc_id: r.score for r in lm_score.score(rows, rows.doc_id < 5, lm_score.Mixer(piece=50_000)).collect()}
-    for k in range(3, 7):
-        found, sizes = decisions(texts[k])
-        n = np.array([[counts.get(key, (0, 0)) for key in keys] for keys, _ in found], float)
-        gate = np.array([max([m + 1 for m in range(5) if x[m].sum() >= 3], default=0) for x in n], np.int8)
-        logit = np.log((n[:, :, 1] + 0.3) / (n[:, :, 0] + 0.3)).astype(np.float32)
-        want = lm_score.mixed(logit, gate, np.array([b for _, b in found], np.uint8), sizes, lm_score.Mixer()) / np.log(10)
-        assert got[k] == pytest.approx(want, rel=1e-4)
+    assert all(r.score < 0 and r.base_score < 0 and r.bits_per_byte > 0 for r in got.values()) and lm_score.score(none, langid.held_out("doc_id", 7)).count() == 0
+
+
+def test_lm_base_score_by_brute_force(spark):
+    """Counts of whole words with a Python dictionary, rare words through the join; repeated rows, null text, no training rows."""
+    rng = np.random.default_rng(6)
+    rows = [(k, " ".join(rng.choice([*WORDS, "A", "a", "\u00c9", "\u00e9"], int(rng.integers(0, 50))))) for k in range(80)] + [(80, None), (81, ""), (82, " \t"), (3, "again again"), (3, "again again"), (None, "w1")]
+    docs = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, n_tokens string")
+    words_of = lambda t: [re.sub("[A-Z]", lambda m: m[0].lower(), w) for w in re.findall(r"[^\x20\x09-\x0D]+", t or "")] + [None]
+    for some, learn in ((F.col("doc_id") % 3 != 0, [r for r in rows if r[0] is not None and r[0] % 3]), (F.lit(False), [])):
+        count = Counter(w for _, t in learn for w in words_of(t))
+        n, v = sum(count.values()), len(count)
+        want = sorted((d if d is not None else -1, len(words_of(t)), sum(count[w] > 0 for w in words_of(t)), n, round(sum(math.log10((count[w] + 1) / (n + v + 1)) for w in words_of(t)), 6)) for d, t in rows)
+        got = sorted((r.doc_id if r.doc_id is not None else -1, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)) for r in lm_score.score(docs, some, lm_score.Mixer(frequent=100)).collect())
+        assert [g[:4] for g in got] == [w[:4] for w in want] and all(abs(g[4] - w[4]) < 1e-5 for g, w in zip(got, want, strict=True))
+
+
+def test_mixer_against_a_plain_loop():
+    rng = np.random.default_rng(1)
+    n, start = 4000, mixer.Start()
+    start.weights += rng.normal(0, 0.01, start.weights.shape).astype(np.float32)
+    bit, trust, match = rng.integers(0, 2, n), rng.integers(0, 4, n), rng.integers(-4, 5, n).astype(np.int8)
+    raw = np.concatenate([rng.integers(-120, 120, (n, 3)), (bit + 2 * trust)[:, None]], axis=1).astype(np.int8)
+    codes = raw.view(np.uint32)[:, 0].copy()
+    mixer.flagged(codes, match)
+    begin, size = np.array([0, 1001, 1701, 1701]), np.array([1001, 700, 2299, 0])
+    got, _ = mixer.mixed(codes, begin, size, start, 0.004, 0.02)
+    for lo, many, found in zip(begin, size, got, strict=True):
+        w, table, total = start.weights.astype(float), start.map.astype(float), 0.0
+        for a in range(lo, lo + many, mixer.STEP):
+            k, step, new = trust[a] + mixer.TRUST * abs(int(match[a])), np.zeros(4), table.copy()
+            for i in range(a, min(a + mixer.STEP, lo + many)):
+                x = np.array([*(raw[i, :3] / mixer.SCALE), np.sign(match[i]) * mixer.SAYS[abs(match[i])]])
+                z = np.clip(w[k] @ x, -7.9, 7.9)
+                p, cell = 1 / (1 + np.exp(-z)), int(z * 2 + 16.5)
+                step += 0.004 * (bit[i] - p) * x
+                q = (p + table[cell]) / 2
+                new[cell] = table[cell] + 0.02 * (bit[i] - table[cell])
+                total += np.log(q if bit[i] else 1 - q)
+            w[k] += step
+            table = new
+        assert found == pytest.approx(total, rel=1e-3)
+
+
+def test_code_trees_are_complete():
+    code = mixer.Code({0: {97: 5, 98: 1, 256: 2}, 98: {97: 3, 32: 9}})
+    for tree, leaves in enumerate(code.leaf_at):
+        assert sum(0.5 ** code.depth[k] for k in leaves[leaves >= 0]) == 1
+        assert len({tuple(code.outcome[code.first[k] : code.first[k] + code.depth[k]]) for k in leaves[leaves >= 0]}) == (leaves >= 0).sum(), tree
+
+
+def test_mixture_beats_its_predictors(spark):
+    """Bits per byte of held-out texts, mixed, and by each context alone."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    held = langid.held_out("doc_id", 7)
+    counts = lm_score.word_counts(docs.where(~held))
+    code = lm_score.fit_code(counts, lm_score.Mixer())
+    tables = (*lm_score.context_tables(counts, 18, code), code)
+    sample = docs.where(held).select(F.lower("text").alias("text")).limit(60).toArrow().column(0).combine_chunks()
+    data, offsets = lm_score.text_buffers(sample)
+    hashes, _, first, size = lm_score.word_places(data, offsets)
+    cache = lm_score.Words(tables, 1 << 22)
+    place, depth = cache.places(hashes, first, size, data)
+    codes = cache.codes[lm_score.steps(place, depth)]
+    mixer.flagged(codes, np.zeros(len(codes), np.int8))
+    lanes = np.arange(0, len(codes), 4096)
+    whole = mixer.mixed(codes, lanes, np.minimum(4096, len(codes) - lanes), mixer.Start(), 0.002, 0.02)[0].sum()
+    for k in range(mixer.CONTEXTS):
+        alone = mixer.Start()
+        alone.weights[:] = np.eye(mixer.INPUTS)[k]
+        assert mixer.mixed(codes, lanes, np.minimum(4096, len(codes) - lanes), alone, 0, 0)[0].sum() < whole
+
+
+def test_matches(spark):
+    """A held-out copy follows its training copy; a training text alone never follows itself; partitions and parts don't matter."""
+    rng = np.random.default_rng(8)
+    texts = ["".join(rng.choice(list("abcdefghijklmnop "), 6000)) for _ in range(8)]
+    rows = [(k, t) for k, t in enumerate(texts)] + [(100, texts[0]), (101, texts[1][:3000] + " other words at the end"), (102, "".join(rng.choice(list("abcdefghijklmnop "), 6000)))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    p = lm_score.Mixer(every=4)
+    got = {r.doc_id: (r.bits_per_byte, r.score) for r in lm_score.score(docs.repartition(1), F.col("doc_id") < 100, p).collect()}
+    assert got[100][0] < 0.6 * min(got[k][0] for k in range(8)) and got[101][0] < 0.8 * got[102][0]
+    again = {r.doc_id: (r.bits_per_byte, r.score) for r in lm_score.score(docs.repartition(7), F.col("doc_id") < 100, p).collect()}
+    assert all(got[k][1] == pytest.approx(again[k][1], rel=1e-6) for k in got)
+    parts = {r.doc_id: r.score for r in lm_score.score(docs, F.col("doc_id") < 100, lm_score.Mixer(every=4, run=2500)).collect()}
+    assert all(got[k][1] == pytest.approx(parts[k], rel=0.05) for k in got)
 
 
 def test_chat(spark):
