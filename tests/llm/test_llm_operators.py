@@ -395,8 +395,8 @@ def test_mixture_beats_its_predictors(spark):
     sample = docs.where(held).select(F.lower("text").alias("text")).limit(60).toArrow().column(0).combine_chunks()
     data, offsets = lm_score.text_buffers(sample)
     hashes, _, first, size = lm_score.word_places(data, offsets)
-    cache = lm_score.Words(tables, 1 << 22)
-    place, depth = cache.places(hashes, first, size, data)
+    cache = lm_score.Words(tables, np.zeros(0, np.uint64), np.zeros(0), 1 << 22)
+    place, depth, _ = cache.places(hashes, first, size, data)
     codes = cache.codes[lm_score.steps(place, depth)]
     mixer.flagged(codes, np.zeros(len(codes), np.int8))
     lanes = np.arange(0, len(codes), 4096)
