@@ -33,7 +33,7 @@ NONE, UNKNOWN = "none", "unknown"
 
 @dataclass(frozen=True)
 class Scan:
-    """``documents`` bounds the sample that labels are taken from, ``vocabulary`` the n-grams of the classifier."""
+    """About ``documents`` documents, chosen by hash, are the sample that labels are taken from; ``vocabulary`` bounds the n-grams of the classifier."""
 
     documents: int = 2000
     vocabulary: int = 4096
@@ -73,7 +73,9 @@ def paragraphs(docs: DataFrame) -> DataFrame:
 def labelled(docs: DataFrame, p: Scan = Scan()) -> DataFrame:
     """(words, label): paragraphs of a bounded sample of ``docs`` by their templates, and the templates with one word left out."""
     spark = docs.sparkSession
-    sample = docs.where("text is not null").select("doc_id", "text").orderBy(F.xxhash64("doc_id"), "doc_id", F.md5("text")).limit(p.documents)
+    texts = docs.where("text is not null").select("doc_id", "text")
+    share = min(1.0, p.documents / max(1, texts.count()))
+    sample = texts.where(F.xxhash64("doc_id", "text").bitwiseAND(F.lit((1 << 31) - 1)) < int(share * (1 << 31)))
     lines = paragraphs(sample).select(_words(F.col("line")).alias("words")).where(F.size("words") > 0).distinct().withColumn("id", F.xxhash64("words"))
     known = _templates(spark).select("family", F.xxhash64("template").alias("which"), _grams("template").alias("grams"))
     known = F.broadcast(known.select("family", "which", F.size("grams").alias("size"), F.explode("grams").alias("gram")))
@@ -118,7 +120,9 @@ def scan(docs: DataFrame, p: Scan = Scan()) -> DataFrame:
     classes, base, weights, least = fit(docs, p)
     table = spark.createDataFrame([(g, *w) for g, w in weights.items()] or [("", *[0.0] * len(classes))], ", ".join(["gram string", *(f"w{k} double" for k in range(len(classes)))]))
     lines = paragraphs(docs).withColumn("words", _words(F.col("line"))).withColumn("gram", F.explode(_grams("words")))
-    found = lines.join(F.broadcast(table), "gram").groupBy("doc_id", "copy", "paragraph", "line").agg(*[(F.sum(f"w{k}") + base[k]).alias(f"z{k}") for k in range(len(classes))])
+    # a paragraph of equal rows meets each of its n-grams once for every row
+    rows = F.count("*") / F.size(F.collect_set("gram"))
+    found = lines.join(F.broadcast(table), "gram").groupBy("doc_id", "copy", "paragraph", "line").agg(*[(F.sum(f"w{k}") / rows + base[k]).alias(f"z{k}") for k in range(len(classes))])
     top = F.greatest(*[F.col(f"z{k}") for k in range(len(classes))])
     total = sum((F.exp(F.col(f"z{k}") - F.col("top")) for k in range(len(classes))), F.lit(0.0))
     best = F.coalesce(*[F.when(F.col(f"z{k}") == F.col("top"), F.lit(c)) for k, c in enumerate(classes)])

@@ -331,6 +331,18 @@ def test_licences(spark, none):
     assert licences.scan(none).count() == 0
 
 
+def test_licences_of_repeated_rows(spark):
+    """Equal rows change no probability; null ids, more columns and a long text are carried along."""
+    line = "Released under the MIT License."
+    rows = [(k, f"some words about number {k} and more\nmany other words here {k * 7}") for k in range(40)] + [(100, line), (101, line), (None, line), (102, "many words here\n" * 20_000 + line)]
+    once = spark.createDataFrame([(*r, 0.5) for r in rows], "doc_id long, text string, probability double")
+    p = licences.Scan(documents=1 << 20)
+    key = lambda r: (r.doc_id or -1, r.paragraph, r.family, round(r.probability, 9))
+    one, twice = (sorted(map(key, licences.scan(d, p).collect())) for d in (once, once.union(once.where("doc_id in (100, 101)"))))
+    assert [r[:3] for r in one] == [(-1, 0, "MIT"), (100, 0, "MIT"), (101, 0, "MIT"), (102, 20_000, "MIT")]
+    assert [r[:3] for r in twice] == [r[:3] for r in one] and all(abs(a[3] - b[3]) < 0.01 for a, b in zip(one, twice, strict=True))
+
+
 def test_lm_score(docs, none):
     got = {r.doc_id: r for r in lm_score.score(docs, langid.held_out("doc_id", 7) == False).collect()}  # noqa: E712
     assert got[4].n_tokens == got[5].n_tokens == got[6].n_tokens == 1 and got[1].n_tokens == 401
