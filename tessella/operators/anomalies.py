@@ -142,7 +142,7 @@ def run_anomalies(outliers: DataFrame, breaks: DataFrame, methodology: DataFrame
     null = F.lit(None)
     a = outliers.where("is_anomaly").select(F.lit("spatial_outlier").alias("kind"), "entity", null.alias("metric_id"), "year", "score")
     b = breaks.select(F.lit("structural_break").alias("kind"), "entity", "metric_id", "year", "score")
-    c = methodology.select(F.lit("methodology").alias("kind"), null.alias("entity"), "metric_id", "year", "score")
+    c = methodology.select(F.lit("methodology_change").alias("kind"), null.alias("entity"), "metric_id", "year", "score")
     return enforce(a, ANOMALIES).unionByName(enforce(b, ANOMALIES)).unionByName(enforce(c, ANOMALIES))
 
 

@@ -53,7 +53,7 @@ def dispersion(features: DataFrame, metrics: DataFrame, least: int) -> DataFrame
         F.count(v).alias("n"), F.avg(v).alias("mean"), F.percentile(v, F.lit(0.5)).alias("median"), F.stddev_samp(v).alias("std"), F.percentile(v, F.lit(0.1)).alias("p10"), F.percentile(v, F.lit(0.9)).alias("p90"),
         (F.percentile(v, F.lit(0.75)) - F.percentile(v, F.lit(0.25))).alias("iqr"), (F.max(v) - F.min(v)).alias("range"),
     ).where(F.col("n") >= least).join(metrics.select("metric_id", "value_type"), "metric_id")
-    scale = F.col("value_type").isin("absolute", "per_capita", "rate", "share")
+    scale = F.col("value_type").isin("absolute", "per_capita", "share")
     out = out.withColumn("cv", F.when(scale & (F.col("mean") > 0), ratio(F.col("std"), F.col("mean")))).withColumn("p90_p10", F.when(scale & (F.col("p10") > 0), ratio(F.col("p90"), F.col("p10"))))
     return out.drop("value_type")
 

@@ -180,7 +180,7 @@ rank() OVER (PARTITION BY a.year ORDER BY b.total_score) + (count(*) OVER (PARTI
 _add("e3_scheme_agreement", lambda s, d: ranks.scheme_agreement(demo.dev(s, d)), f"year:i, scheme_a, scheme_b, spearman:d, n:i | {_AGREE}")
 _add("e4_scheme_sensitivity", lambda s, d: ranks.scheme_sensitivity(ranks.scheme_agreement(demo.dev(s, d))), f"scheme_a, scheme_b, mean_spearman:d, min_spearman:d | SELECT scheme_a, scheme_b, avg(spearman) AS mean_spearman, min(spearman) AS min_spearman FROM ({_AGREE}) GROUP BY 1, 2")
 _add("f1_dispersion", lambda s, d: ranks.dispersion(demo.features(s, d), demo.metrics(s), 5),
-     "metric_id:i, year:i, n:i, mean:d, median:d, std:d, p10:d, p90:d, iqr:d, range:d, cv:d, p90_p10:d | SELECT *, CASE WHEN scale AND mean > 0 THEN std / mean END AS cv, CASE WHEN scale AND p10 > 0 THEN p90 / p10 END AS p90_p10 FROM (SELECT metric_id, year, any_value(value_type) IN ('absolute', 'per_capita', 'rate', 'share') AS scale, count(*) AS n, avg(value_harmonized) AS mean, median(value_harmonized) AS median, stddev_samp(value_harmonized) AS std, quantile_cont(value_harmonized, 0.1) AS p10, quantile_cont(value_harmonized, 0.9) AS p90, quantile_cont(value_harmonized, 0.75) - quantile_cont(value_harmonized, 0.25) AS iqr, max(value_harmonized) - min(value_harmonized) AS range FROM feat JOIN mdim USING (metric_id) GROUP BY 1, 2 HAVING count(*) >= 5)")
+     "metric_id:i, year:i, n:i, mean:d, median:d, std:d, p10:d, p90:d, iqr:d, range:d, cv:d, p90_p10:d | SELECT *, CASE WHEN scale AND mean > 0 THEN std / mean END AS cv, CASE WHEN scale AND p10 > 0 THEN p90 / p10 END AS p90_p10 FROM (SELECT metric_id, year, any_value(value_type) IN ('absolute', 'per_capita', 'share') AS scale, count(*) AS n, avg(value_harmonized) AS mean, median(value_harmonized) AS median, stddev_samp(value_harmonized) AS std, quantile_cont(value_harmonized, 0.1) AS p10, quantile_cont(value_harmonized, 0.9) AS p90, quantile_cont(value_harmonized, 0.75) - quantile_cont(value_harmonized, 0.25) AS iqr, max(value_harmonized) - min(value_harmonized) AS range FROM feat JOIN mdim USING (metric_id) GROUP BY 1, 2 HAVING count(*) >= 5)")
 _add("f2_index_dispersion", lambda s, d: ranks.index_dispersion(demo.dev(s, d)),
      "year:i, scheme, n:i, mean:d, std:d, p10:d, p90:d, cv:d, p90_p10:d, gini:d | SELECT year, scheme, count(*) AS n, avg(x) AS mean, stddev_pop(x) AS std, quantile_cont(x, 0.1) AS p10, quantile_cont(x, 0.9) AS p90, CASE WHEN avg(x) > 0 THEN stddev_pop(x) / avg(x) END AS cv, CASE WHEN quantile_cont(x, 0.1) > 0 THEN quantile_cont(x, 0.9) / quantile_cont(x, 0.1) END AS p90_p10, CASE WHEN sum(x) > 0 THEN (2 * sum(i * x) - (count(*) + 1) * sum(x)) / (count(*) * sum(x)) END AS gini FROM (SELECT year, scheme, total_score AS x, row_number() OVER (PARTITION BY year, scheme ORDER BY total_score, entity) AS i FROM dev) GROUP BY 1, 2 HAVING count(*) >= 5")
 _add("f3_beta_convergence", lambda s, d: ranks.beta_convergence(demo.dev(s, d)),
@@ -241,8 +241,7 @@ def _profiles(s: SparkSession, d: str) -> DataFrame:
 
 
 _TWIN = "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY entity, year ORDER BY similarity DESC, twin) AS rank FROM (SELECT a.entity, a.year, b.entity AS twin, round(list_cosine_similarity(a.p, b.p), 8) AS similarity FROM pr a JOIN pr b ON a.year = b.year AND a.entity <> b.entity)) WHERE rank <= 5"
-_add("i14_twins", lambda s, d: typology.twins(_profiles(s, d)), "entity, year:i, rank:i, similarity:d | WITH pr AS (SELECT lpad(vec_id::VARCHAR, 9, '0') AS entity, label AS year, embedding::DOUBLE[] AS p FROM embeddings) " + _TWIN)
-QUERIES["i14_twins"] = lambda spark, d: rounded(typology.twins(_profiles(spark, d)).select("entity", "year", "rank", "similarity"))
+_add("i14_twins", lambda s, d: typology.twins(_profiles(s, d)), "entity, year:i, twin, similarity:d, rank:i | WITH pr AS (SELECT lpad(vec_id::VARCHAR, 9, '0') AS entity, label AS year, embedding::DOUBLE[] AS p FROM embeddings) " + _TWIN)
 _PANEL_TWINS = "WITH pr AS (SELECT entity, year, list(z_value ORDER BY metric_id) AS p FROM feat GROUP BY 1, 2) " + _TWIN
 _add("i15_twins_of", lambda s, d: typology.twins_of(typology.twins(features.profile_vector(demo.features(s, d))), demo.regions(s, d), "04", 1998), f"entity, rank:i, similarity:d, region_name, district | SELECT twin AS entity, rank, similarity, region_name, district FROM ({_PANEL_TWINS}) t JOIN regions r ON r.entity = twin WHERE t.entity = '04' AND t.year = 1998")
 _add("i16_region_vs_type", lambda s, d: typology.region_vs_type(demo.features(s, d), demo.clusters(s, d)),
@@ -294,9 +293,36 @@ _add("l4_core_metrics", lambda s, d: serve.serve(demo.metrics(s), {"is_core": Tr
 _add("l5_metric_series", lambda s, d: serve.metric_series(demo.fact(s, d), demo.features(s, d), "04", 2, (1996, 2000)), "year:i, value:d, value_harmonized:d, is_imputed | SELECT year, value, value_harmonized, is_imputed FROM fact LEFT JOIN feat USING (entity, metric_id, year) WHERE entity = '04' AND metric_id = 2 AND year BETWEEN 1996 AND 2000")
 _add("l6_cross_section", lambda s, d: serve.cross_section(demo.fact(s, d), demo.regions(s, d), 3, 1999), "entity, region_name, value:d | SELECT entity, region_name, value FROM fact JOIN regions USING (entity) WHERE included AND metric_id = 3 AND year = 1999")
 _add("l7_compare_entities", lambda s, d: serve.compare_entities(demo.dev(s, d), demo.clusters(s, d), demo.regions(s, d), ["01", "04", "09"], 1998, "equal"), f"{_DEV}, region_name, cluster_id:i | SELECT * FROM dev JOIN regions USING (entity) LEFT JOIN clusters USING (entity, year) WHERE entity IN ('01', '04', '09') AND year = 1998 AND scheme = 'equal'")
-_ANOM = "SELECT 'structural_break' AS kind, entity, metric_id, year, score FROM breaks UNION ALL SELECT 'methodology', NULL, metric_id, year, score FROM (" + _METH + ")"
-_add("l8_anomaly_list", lambda s, d: serve.serve(anomalies.run_anomalies(anomalies.spatial_outliers(_profiles(s, d)).where("false"), *_breaks(s, d)), {"kind": ["structural_break", "methodology"]}, [(demo.regions(s, d), "entity", ["region_name"]), (demo.metrics(s), "metric_id", ["metric_name"])], ["kind", "year", F.desc("score")]),
+_ANOM = "SELECT 'structural_break' AS kind, entity, metric_id, year, score FROM breaks UNION ALL SELECT 'methodology_change', NULL, metric_id, year, score FROM (" + _METH + ")"
+
+
+def _anomaly_list(s: SparkSession, d: str, kinds: list[str]) -> DataFrame:
+    found = anomalies.run_anomalies(anomalies.spatial_outliers(_profiles(s, d)), *_breaks(s, d))
+    return serve.serve(found, {"kind": kinds}, [(demo.regions(s, d), "entity", ["region_name"]), (demo.metrics(s), "metric_id", ["metric_name"])], ["kind", "year", F.desc("score")])
+
+
+# outliers have no SQL, so all kinds are listed without one, and the others once more with theirs
+_add("l8_anomaly_list", lambda s, d: _anomaly_list(s, d, ["spatial_outlier", "structural_break", "methodology_change"]))
+_add("l8_break_list", lambda s, d: _anomaly_list(s, d, ["structural_break", "methodology_change"]),
      f"metric_id:i, entity, kind, year:i, score:d, region_name, metric_name | SELECT a.*, region_name, metric_name FROM ({_ANOM}) a LEFT JOIN regions USING (entity) LEFT JOIN mdim USING (metric_id)")
+
+
+def _list(name: str, of: str, filters: dict, where: str, key: str, add: str) -> None:
+    """The rows of another query that the filters leave, with a name joined by ``key``."""
+    columns, body = SQL[of].split("|", 1)
+    names = {"entity": ("regions", demo.regions), "metric_id": ("mdim", lambda s, d: demo.metrics(s))}
+    table, frame = names[key]
+    QUERIES[name] = lambda s, d: serve.serve(QUERIES[of](s, d), filters, [(frame(s, d), key, [add])], [key])
+    SQL[name] = f"{columns}, {add} | SELECT l.*, {add} FROM ({body}) l LEFT JOIN (SELECT {key}, {add} FROM {table}) n USING ({key}) WHERE {where}"
+
+
+_list("l9_dispersion_list", "f1_dispersion", {"year": (1996, 1998)}, "year BETWEEN 1996 AND 1998", "metric_id", "metric_name")
+_list("l10_trajectory_list", "i13_run_transitions", {"year_to": 1998}, "year_to = 1998", "entity", "region_name")
+_list("l10_descriptor_list", "i12_trajectory_descriptors", {}, "true", "entity", "region_name")
+_list("l10_stability_list", "e1_rank_stability", {}, "true", "entity", "region_name")
+_list("l10_robustness_list", "e2_rank_robustness", {}, "true", "entity", "region_name")
+_list("l12_typology_list", "i6_centroid_distances", {"year": 1998}, "year = 1998", "entity", "region_name")
+_list("l12_attribution_list", "i9_membership_attribution", {"entity": "04"}, "entity = '04'", "metric_id", "metric_name")
 _add("l9_quality_list", lambda s, d: serve.serve(quality.data_quality(demo.features(s, d), demo.fact(s, d)), {"metric_id": [1, 3], "year": (1996, 1998)}, [(demo.metrics(s), "metric_id", ["metric_name"])], ["metric_id", "year"]), f"metric_id:i, year:i, {_DQ}, metric_name | SELECT dq.*, {_SHARE}, metric_name FROM dq JOIN mdim USING (metric_id) WHERE metric_id IN (1, 3) AND year BETWEEN 1996 AND 1998")
 _add("l10_transition_list", lambda s, d: serve.serve(typology.build_transitions(*_ranked_clusters(s, d)), {"year_from": 1997}, [(demo.regions(s, d), "entity", ["region_name"])], ["entity"]), f"{_TRANS}, region_name | SELECT * FROM trans JOIN regions USING (entity) WHERE year_from = 1997")
 _add("l11_catalog_list", lambda s, d: serve.catalog_list(quality.metric_catalog(demo.metrics(s), demo.fact(s, d), 0.8), None, None, "share", 5), f"{_CAT} | SELECT * FROM catalog WHERE metric_name LIKE '%share%'")
