@@ -10,6 +10,7 @@ string of a special token go to the library whole.
 from __future__ import annotations
 
 import os
+from itertools import accumulate, chain, pairwise
 
 import numpy as np
 
@@ -45,7 +46,10 @@ class WordEncoder:
     def _words(self, words: list[str]) -> list[bytes]:
         """Ids of words of letters alone, each one token run: by the model itself in lower-case ASCII, else as one text."""
         plain = [w for w in words if w.isascii()]
-        out = {w: np.array([t.id for t in self.tokenizer.model.tokenize(w)], self.kind).tobytes() for w in plain}
+        tokenize, size = self.tokenizer.model.tokenize, self.kind.itemsize
+        runs = [[t.id for t in tokenize(w)] for w in plain]
+        flat = np.fromiter(chain.from_iterable(runs), self.kind).tobytes()
+        out = {w: flat[a:b] for w, (a, b) in zip(plain, pairwise(accumulate((size * len(r) for r in runs), initial=0)), strict=True)}
         rest = [w for w in words if not w.isascii()]
         if rest:
             ids = np.array(self.tokenizer.encode(" ".join(rest), add_special_tokens=False).ids, self.kind)
@@ -63,6 +67,11 @@ class WordEncoder:
     def _learn(self, chunks: set[str]) -> None:
         split, need = [], set()
         for c in chunks:
+            if c.isascii() and c.isalpha():
+                core = c.lower()
+                split.append((c, core, ""))
+                need.add(core)
+                continue
             core = c.rstrip(_MARKS)
             if not core or len(core) == len(c) or not self._letter(core):
                 core = c
@@ -81,21 +90,16 @@ class WordEncoder:
             self.chunks[c] = self.parts[core] + self.parts[tail] if tail else self.parts[core]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        out = []
-        for text in texts:
-            if any(c in text for c in _ODD) or any(t in text for t in self.strings):  # str.split() would cut at the odd ones, the pattern doesn't
-                out += self._library([text])
-                continue
-            words = text.split()
-            try:
-                out.append(b"".join(map(self.chunks.__getitem__, words)))
-            except KeyError:
-                if len(self.chunks) + len(self.parts) > self.most:
-                    self.chunks.clear()
-                    self.parts.clear()
-                self._learn({w for w in words if w not in self.chunks})
-                out.append(b"".join(map(self.chunks.__getitem__, words)))
-        return out
+        # str.split() would cut at the odd characters, the pattern doesn't
+        whole = [any(c in text for c in _ODD) or any(t in text for t in self.strings) for text in texts]
+        words = [[] if w else text.split() for w, text in zip(whole, texts, strict=True)]
+        seen = set().union(*words)
+        if len(self.chunks) + len(self.parts) > self.most:
+            self.chunks.clear()
+            self.parts.clear()
+        self._learn(seen.difference(self.chunks))
+        known = self.chunks.__getitem__
+        return [self._library([text])[0] if w else b"".join(map(known, own)) for w, text, own in zip(whole, texts, words, strict=True)]
 
 
 def encoder(path: str, kind: str, special: bool = True) -> WordEncoder:
