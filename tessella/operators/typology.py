@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 from itertools import permutations
 
@@ -9,28 +10,95 @@ import numpy as np
 import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessella.functions.lineage import checkpoint
 from tessella.functions.stats import ratio
 from tessella.operators.features import profile_vector
 
 
-def cluster_by_period(features: DataFrame, k: int, seed: int = 42, starts: int = 3) -> DataFrame:
-    """(entity, year, cluster_id): k-means on each year's profiles, the cheapest of some starts; ids by centroid order."""
-    rows = profile_vector(features).withColumn("features", array_to_vector("profile")).cache()
-    out = []
-    for (year,) in sorted(rows.select("year").distinct().collect()):
-        own = rows.where(F.col("year") == year)
-        models = [KMeans(k=k, seed=seed + s, maxIter=30).fit(own) for s in range(starts)]
-        best = min(models, key=lambda m: m.summary.trainingCost)
-        order = sorted(range(len(best.clusterCenters())), key=lambda c: tuple(best.clusterCenters()[c]))
-        to = {c: i for i, c in enumerate(order)}
-        name = F.create_map(*[F.lit(x) for kv in to.items() for x in kv])
-        out.append(best.transform(own).select("entity", "year", name[F.col("prediction")].cast("long").alias("cluster_id")))
-    return reduce(DataFrame.unionByName, out)
+def _far(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """Squared distances of rows to centres."""
+    return (x * x).sum(axis=1)[:, None] - 2 * x @ centres.T + (centres * centres).sum(axis=1)[None, :]
+
+
+def _sums(rows: DataFrame, centres: dict[tuple[int, int, int], np.ndarray]) -> DataFrame:
+    """(year, k, start, c, dim, value): sums over each centre's nearest profiles, then their number and total distance."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums: dict[tuple[int, int, int], np.ndarray] = {}
+        for batch in batches:
+            for year, own in batch.groupby("year"):
+                x = np.array(own["profile"].tolist(), dtype=np.float64)
+                for key in (c for c in centres if c[0] == year):
+                    far = _far(x, centres[key])
+                    near = far.argmin(axis=1)
+                    member = np.zeros(far.shape)
+                    member[np.arange(len(x)), near] = 1
+                    part = np.column_stack([member.T @ x, member.sum(axis=0), member.T @ np.maximum(far.min(axis=1), 0)])
+                    sums[key] = sums[key] + part if key in sums else part
+        for (year, k, start), s in sums.items():
+            c, dim = np.indices(s.shape)
+            yield pd.DataFrame({"year": year, "k": k, "start": start, "c": c.ravel(), "dim": dim.ravel(), "value": s.ravel()})
+
+    parts = rows.select("year", "profile").mapInPandas(run, "year long, k int, start int, c int, dim int, value double")
+    return parts.groupBy("year", "k", "start", "c", "dim").agg(F.sum("value").alias("value"))
+
+
+def _best_centres(rows: DataFrame, ks: list[int], seed: int, starts: int, rounds: int = 30) -> dict[tuple[int, int], np.ndarray]:
+    """The cheapest centres of each (year, k) among ``starts`` draws of distinct profiles, in order of their coordinates.
+
+    All years, numbers of clusters and starts move in the same pass over the profiles; only their centres and sums, of
+    a size fixed by the parameters, reach the driver.
+    """
+    drawn = rows.select("year", "profile").distinct().withColumn("start", F.explode(F.sequence(F.lit(0), F.lit(starts - 1))))
+    order = Window.partitionBy("year", "start").orderBy(F.xxhash64("profile", "start", F.lit(seed)), "profile")
+    drawn = drawn.withColumn("r", F.row_number().over(order)).where(F.col("r") <= max(ks)).orderBy("year", "start", "r").collect()
+    firsts: dict[tuple[int, int], list] = {}
+    for r in drawn:
+        firsts.setdefault((r.year, r.start), []).append(r.profile)
+    centres = {(y, k, s): np.array(p[:k], dtype=np.float64) for (y, s), p in firsts.items() for k in ks}
+    moving, cost = dict(centres), {}
+    for _ in range(rounds):
+        if not moving:
+            break
+        for (y, k, s), own in _sums(rows, moving).toPandas().groupby(["year", "k", "start"]):
+            old = moving[y, k, s]
+            sums = np.zeros((len(old), old.shape[1] + 2))
+            sums[own["c"], own["dim"]] = own["value"]
+            size, cost[y, k, s] = sums[:, -2:-1], float(sums[:, -1].sum())
+            new = np.where(size > 0, sums[:, :-2] / np.maximum(size, 1), old)
+            centres[y, k, s] = new
+            if np.abs(new - old).max() < 1e-9:
+                del moving[y, k, s]
+            else:
+                moving[y, k, s] = new
+    best: dict[tuple[int, int], tuple] = {}
+    for (y, k, s), c in cost.items():
+        best[y, k] = min(best.get((y, k), (np.inf, 0)), (round(c, 9), s))
+    return {(y, k): np.array(sorted(centres[y, k, s].tolist())) for (y, k), (_, s) in best.items()}
+
+
+def _nearest(rows: DataFrame, centres: dict[int, np.ndarray]) -> DataFrame:
+    """(entity, year, cluster_id): the nearest of the year's centres, the first on a tie."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for year, own in batch.groupby("year"):
+                near = _far(np.array(own["profile"].tolist(), dtype=np.float64), centres[year]).argmin(axis=1)
+                yield pd.DataFrame({"entity": own["entity"], "year": year, "cluster_id": near})
+
+    return rows.select("entity", "year", "profile").mapInPandas(run, "entity string, year long, cluster_id long")
+
+
+def cluster_by_period(features: DataFrame, k: int, seed: int = 42, starts: int = 10) -> DataFrame:
+    """(entity, year, cluster_id): k-means on each year's profiles, the cheapest of some starts; ids by centroid order.
+
+    A year with fewer than ``k`` distinct profiles has as many clusters as those.
+    """
+    rows = checkpoint(profile_vector(features))
+    return _nearest(rows, {y: c for (y, _), c in _best_centres(rows, [k], seed, starts).items()})
 
 
 def cluster_quality(features: DataFrame, clusters: DataFrame) -> DataFrame:
@@ -57,10 +125,19 @@ def cluster_quality(features: DataFrame, clusters: DataFrame) -> DataFrame:
     return sil.join(grand, "year").join(db, "year", "left").select("year", F.when(F.col("k") > 1, F.col("silhouette")).alias("silhouette"), "davies_bouldin", ch.alias("calinski_harabasz"))
 
 
-def choose_k(features: DataFrame, k_range: range, seed: int = 42) -> DataFrame:
-    """(k, mean_silhouette) best first; the smaller k on a tie."""
-    out = [cluster_quality(features, cluster_by_period(features, k, seed, 1)).agg(F.avg("silhouette").alias("mean_silhouette")).withColumn("k", F.lit(k).cast("long")) for k in k_range]
-    return reduce(DataFrame.unionByName, out).select("k", "mean_silhouette").orderBy(F.col("mean_silhouette").desc_nulls_last(), "k")
+def choose_k(features: DataFrame, k_range: range, seed: int = 42, starts: int = 10) -> DataFrame:
+    """(k, mean_silhouette) best first; the smaller k on a tie. Numbers from the smallest year's entities on are left out."""
+    rows = checkpoint(profile_vector(features))
+    least = rows.groupBy("year").count().agg(F.min("count")).first()[0] or 0
+    ks = [k for k in k_range if k < least]
+    if not ks:
+        raise ValueError("every k of the range needs more entities than the smallest year has")
+    found = _best_centres(rows, ks, seed, starts)
+    out = [
+        cluster_quality(features, _nearest(rows, {y: c for (y, own), c in found.items() if own == k})).agg(F.avg("silhouette").alias("mean_silhouette")).withColumn("k", F.lit(k).cast("long"))
+        for k in ks
+    ]
+    return reduce(DataFrame.unionByName, out).select("k", "mean_silhouette").orderBy(F.round("mean_silhouette", 9).desc_nulls_last(), "k")
 
 
 def best_assignment(overlap: np.ndarray) -> list[int]:

@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella import contracts
+from tessella.functions.lineage import shared_folder
 from tessella.functions.stats import rounded
 from tessella.operators import anomalies, etl, features, index, quality, ranks, spatial, typology
 from tessella.plans import demo, serve
 from tessella.plans.demo import DOMAINS, EXPERT, POPULATION, SCHEMES, YEARS
 from tessella.sources import tables
+from tessella.streaming.intake import stream_intake
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -53,6 +56,42 @@ _add("a2_sentinel_hits", lambda s, d: tables.sentinel_hits(demo.canonical(s, d))
 _add("a3_read_sources", lambda s, d: tables.read_sources([demo.canonical(s, d).where("year < 1998"), demo.canonical(s, d).where("year >= 1998")]).groupBy("year").agg(F.count("*").alias("n")), "year:i, n:i | SELECT year, count(*) AS n FROM canon GROUP BY 1")
 
 
+def _folder(s: SparkSession) -> str:
+    return f"{shared_folder(s)}/store-{uuid.uuid4().hex}"
+
+
+def _stored(s: SparkSession, d: str) -> DataFrame:
+    """The fact as it is read back from a store, with the number of the store's tables."""
+    folder = _folder(s)
+    tables.write_table(demo.regions(s, d), folder, "regions")
+    for _ in range(2):
+        tables.write_table(demo.fact(s, d), folder, "fact")
+    return tables.read_table(s, folder, "fact").withColumn("n_tables", F.lit(len(tables.list_tables(s, folder))).cast("long"))
+
+
+def _taken_in(s: SparkSession, d: str) -> DataFrame:
+    """Rows by year of raw files that arrived between two runs of the intake; a third run finds nothing new."""
+    folder = _folder(s)
+    for part in ("year < 1998", "year >= 1998", None):
+        if part:
+            demo.canonical(s, d).where(part).write.mode("append").parquet(f"{folder}/in")
+        stream_intake(s, f"{folder}/in", f"{folder}/state", f"{folder}/out")
+    return s.read.parquet(f"{folder}/out").groupBy("year").agg(F.count("*").alias("n"), F.sum("indicator_value").alias("total"))
+
+
+def _published(s: SparkSession, d: str) -> DataFrame:
+    """What a version's table holds after one publication and two that the gate refuses."""
+    folder, fact = _folder(s), demo.fact(s, d)
+    done = [tables.publish_snapshot(new, fact.where("year < 2000"), folder, "current", 10, 40) for new in (fact, fact.where("year < 1996"), fact.where("entity < '05'"))]
+    return tables.read_table(s, folder, "current").groupBy("year").agg(F.count("*").alias("n")).withColumn("accepted", F.lit(sum(done)).cast("long"))
+
+
+_add("a4_stored_table", _stored, "entity, metric_id:i, year:i, value:d, source, n_tables:i | SELECT *, 2 AS n_tables FROM fact")
+_add("a6_check_incoming", lambda s, d: tables.check_incoming(s, f"{d}/orders.parquet"), f"ok, missing, rows:i | SELECT false AS ok, '{','.join(contracts.CANONICAL)}' AS missing, count(*) AS rows FROM orders")
+_add("a7_stream_intake", _taken_in, "year:i, n:i, total:d | SELECT year, count(*) AS n, sum(indicator_value) AS total FROM canon GROUP BY 1")
+_add("a8_publish_snapshot", _published, "year:i, n:i, accepted:i | SELECT year, count(*) AS n, 1 AS accepted FROM fact GROUP BY 1")
+
+
 def _geojson(s: SparkSession, d: str) -> DataFrame:
     shape = '{"features": [{"properties": {"entity": "%02d"}, "geometry": {"type": "MultiPolygon", "coordinates": [[[[%d.5, 0.25], [%d.5, 0.25], [%d.5, 1.0000004]]], [[[-%d, 7e1]]]]}}]}'
     return demo.table(s, d, "nation").select(F.format_string(shape, *[F.col("n_nationkey") + k for k in (0, 0, 1, 1, 0)]).alias("value"))
@@ -193,14 +232,29 @@ _add("g2_top_correlations", lambda s, d: ranks.top_correlations(ranks.metric_cor
 _add("h1_adjacency", lambda s, d: spatial.build_adjacency(demo.table(s, d, "events").select(F.col("user_id").alias("entity"), F.concat_ws("|", "event_type", F.date_format("ts", "yyyy-MM-dd HH")).alias("vertex"))),
      "src:i, dst:i | SELECT unnest([src, dst]) AS src, unnest([dst, src]) AS dst FROM (SELECT a.e AS src, b.e AS dst FROM v a JOIN v b ON a.x = b.x AND a.e < b.e GROUP BY 1, 2 HAVING count(*) >= 2)".replace("FROM v a JOIN v b", "FROM (SELECT DISTINCT user_id AS e, event_type || '|' || strftime(ts, '%Y-%m-%d %H') AS x FROM events) a JOIN (SELECT DISTINCT user_id AS e, event_type || '|' || strftime(ts, '%Y-%m-%d %H') AS x FROM events) b"))
 _add("h2_moran_global", lambda s, d: spatial.moran_global(demo.dev(s, d), demo.edges(s, d)), "scheme, year:i, n:i, moran_i:d, expected:d | SELECT scheme, year, count(*) AS n, sum(d * lag) / sum(d * d) AS moran_i, -1.0 / (count(*) - 1) AS expected FROM devs GROUP BY 1, 2 HAVING count(*) >= 3")
-_add("h3_moran_significance", lambda s, d: spatial.moran_significance(demo.dev(s, d), demo.edges(s, d)))
+#: Places of the entities in each permutation, and the scores that they so get.
+_MOVED = """WITH dealt AS (SELECT scheme, year, entity, d, p FROM devs, (SELECT unnest(range(1, 1000)) AS p) WHERE n >= {least}),
+placed AS (SELECT *, row_number() OVER (PARTITION BY scheme, year, p ORDER BY md5('42|' || p::VARCHAR || '|' || entity), entity) AS place FROM dealt)"""
+_H3 = f"""{_MOVED.format(least=3)}, named AS (SELECT scheme, year, d AS x, row_number() OVER (PARTITION BY scheme, year ORDER BY entity) AS place FROM devs WHERE n >= 3),
+moved AS (SELECT scheme, year, p, entity, x FROM placed JOIN named USING (scheme, year, place)),
+means AS (SELECT a.scheme, a.year, a.p, a.entity, any_value(a.x) AS x, avg(b.x) AS nx FROM moved a JOIN edges ON src = a.entity JOIN moved b ON b.scheme = a.scheme AND b.year = a.year AND b.p = a.p AND b.entity = dst GROUP BY 1, 2, 3, 4),
+sims AS (SELECT scheme, year, p, round(sum(x * nx) / sum(x * x), 9) AS sim FROM means GROUP BY 1, 2, 3),
+own AS (SELECT scheme, year, round(sum(d * lag) / sum(d * d), 9) AS moran_i FROM devs WHERE n >= 3 GROUP BY 1, 2)
+SELECT scheme, year, moran_i, (moran_i - avg(sim)) / stddev_pop(sim) AS z_score, (least(count(*) FILTER (sim >= moran_i), 999 - count(*) FILTER (sim >= moran_i)) + 1) / 1000.0 AS p_value FROM sims JOIN own USING (scheme, year) GROUP BY 1, 2, 3"""
+_add("h3_moran_significance", lambda s, d: spatial.moran_significance(demo.dev(s, d), demo.edges(s, d)), f"scheme, year:i, moran_i:d, z_score:d, p_value:d | {_H3}")
 _add("h4_moran_local_parts", lambda s, d: spatial.moran_local_parts(demo.dev(s, d), demo.edges(s, d)),
      "scheme, year:i, entity, local_i:d, n_neighbors:i, quadrant | SELECT scheme, year, entity, d * lag / m2 AS local_i, coalesce(n_neighbors, 0) AS n_neighbors, CASE WHEN d IS NULL THEN 'ns' WHEN d >= 0 AND lag >= 0 THEN 'HH' WHEN d < 0 AND lag >= 0 THEN 'LH' WHEN d < 0 THEN 'LL' ELSE 'HL' END AS quadrant FROM dev LEFT JOIN devs USING (scheme, year, entity) LEFT JOIN (SELECT scheme, year, avg(d * d) AS m2 FROM devs GROUP BY 1, 2) USING (scheme, year)")
-_add("h4_moran_local", lambda s, d: spatial.moran_local(demo.dev(s, d), demo.edges(s, d)))
+# the others drawn for an entity: those placed up to its number of neighbours, one more if it is among them itself
+_H4 = f"""{_MOVED.format(least=1)}, drawn AS (SELECT i.scheme, i.year, i.entity, i.p, round(avg(o.d) * i.d, 9) AS sim, round(i.d * any_value(v.lag), 9) AS own
+FROM placed i JOIN devs v USING (scheme, year, entity) JOIN placed o ON o.scheme = i.scheme AND o.year = i.year AND o.p = i.p AND o.entity <> i.entity AND o.place <= v.n_neighbors + (i.place <= v.n_neighbors)::INT WHERE v.n > v.n_neighbors GROUP BY i.scheme, i.year, i.entity, i.p, i.d),
+ps AS (SELECT scheme, year, entity, least(1.0, 2 * (least(count(*) FILTER (sim >= own), 999 - count(*) FILTER (sim >= own)) + 1) / 1000.0) AS p_value FROM drawn GROUP BY 1, 2, 3)
+SELECT scheme, year, entity, d * lag / m2 AS local_i, coalesce(n_neighbors, 0) AS n_neighbors, CASE WHEN p_value IS NULL OR p_value >= 0.05 THEN 'ns' WHEN d >= 0 AND lag >= 0 THEN 'HH' WHEN d < 0 AND lag >= 0 THEN 'LH' WHEN d < 0 THEN 'LL' ELSE 'HL' END AS quadrant, p_value
+FROM dev LEFT JOIN devs USING (scheme, year, entity) LEFT JOIN (SELECT scheme, year, avg(d * d) AS m2 FROM devs GROUP BY 1, 2) USING (scheme, year) LEFT JOIN ps USING (scheme, year, entity) WHERE total_score IS NOT NULL"""
+_add("h4_moran_local", lambda s, d: spatial.moran_local(demo.dev(s, d), demo.edges(s, d)), f"scheme, year:i, entity, local_i:d, n_neighbors:i, quadrant, p_value:d | {_H4}")
 
 # typology
 _add("i1_cluster_by_period", lambda s, d: typology.cluster_by_period(demo.features(s, d), 3))
-_add("i2_choose_k", lambda s, d: typology.choose_k(demo.features(s, d), range(2, 4)))
+_add("i2_choose_k", lambda s, d: typology.choose_k(demo.features(s, d), range(3, 9)))
 _add("i3_cluster_quality", lambda s, d: typology.cluster_quality(demo.features(s, d), demo.clusters(s, d)),
      """year:i, silhouette:d, davies_bouldin:d, calinski_harabasz:d | WITH p AS (SELECT a.year, a.entity AS e, b.entity AS f, sum((a.z_value - b.z_value) ** 2) AS sq FROM feat a JOIN feat b USING (year, metric_id) WHERE a.entity <> b.entity GROUP BY 1, 2, 3),
 q AS (SELECT p.year, e, x.cluster_id AS own, y.cluster_id AS c, avg(sq) AS m FROM p JOIN clusters x ON x.entity = e AND x.year = p.year JOIN clusters y ON y.entity = f AND y.year = p.year GROUP BY 1, 2, 3, 4),
