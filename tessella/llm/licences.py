@@ -91,7 +91,8 @@ def labelled(docs: DataFrame, p: Scan = Scan()) -> DataFrame:
 
 def fit(docs: DataFrame, p: Scan = Scan()) -> tuple[list[str], list[float], dict[str, list[float]], float]:
     """Classes, intercepts, weights by n-gram, and the least probability of a family that isn't unknown."""
-    rows = labelled(docs, p).withColumn("grams", _grams("words")).withColumn("test", F.pmod(F.xxhash64("words"), F.lit(5)) == 0).cache()
+    # the sample is bounded, and every iteration of the fit costs a task per partition
+    rows = labelled(docs, p).withColumn("grams", _grams("words")).withColumn("test", F.pmod(F.xxhash64("words"), F.lit(5)) == 0).repartition(4).cache()
     vectors = CountVectorizer(inputCol="grams", outputCol="features", vocabSize=p.vocabulary, minDF=2.0, binary=True).fit(rows)
     names = StringIndexer(inputCol="label", outputCol="y", stringOrderType="alphabetAsc").fit(rows)
     ready = names.transform(vectors.transform(rows))
