@@ -89,7 +89,7 @@ def moran_local(dev: DataFrame, edges: DataFrame, permutations: int = 999, seed:
     key = ["scheme", "year"]
     rows = _lags(dev, edges)
     most = rows.groupBy(*key).agg(F.max("n_neighbors").alias("most"))
-    first = _shuffled(rows.select(*key, "entity", "d"), permutations, seed).join(F.broadcast(most), key).where("place <= most + 1")
+    first = _shuffled(rows.select(*key, "entity", "d"), permutations, seed).join(most, key).where("place <= most + 1")
     first = first.groupBy(*key, "p").agg(F.array_sort(F.collect_list(F.struct("place", "entity", "d"))).alias("order"))
     drawn = F.slice(F.filter("order", lambda o: o["entity"] != F.col("entity")), 1, F.col("n_neighbors").cast("int"))
     mean = F.aggregate(drawn, F.lit(0.0), lambda t, o: t + o["d"]) / F.col("n_neighbors")
