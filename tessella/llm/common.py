@@ -15,6 +15,8 @@ WHITE = np.zeros(256, dtype=bool)
 WHITE[[9, 10, 11, 12, 13, 32]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
+#: Bytes outside the terms ``[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+``: all of ASCII but letters and digits.
+NO_TERM = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 
 _rng = np.random.Generator(np.random.PCG64(20240611))
 BYTE_KEYS = _rng.integers(0, 2**64, 256, dtype=np.uint64)
@@ -68,11 +70,11 @@ def words(data: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tuple[np
     return word_places(data, offsets, lower)[:2]
 
 
-def word_places(data: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """What ``words`` gives, and where each word begins in ``data`` and its length in bytes."""
+def word_places(data: np.ndarray, offsets: np.ndarray, lower: bool = True, blank: np.ndarray = WHITE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """What ``words`` gives, and where each word begins in ``data`` and its length in bytes; ``blank`` are the bytes between words."""
     lo, hi = int(offsets[0]), int(offsets[-1])
     block = data[lo:hi]
-    ink = ~WHITE[block]
+    ink = ~blank[block]
     first = np.empty(len(block), dtype=bool)
     if len(block):
         first[0] = True

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm import ann, byte_bpe, chat, langid, licences, lm_score, neardup, pack_documents, pack_matrix, quality
+from tessella.llm import ann, byte_bpe, chat, langid, lexical, licences, lm_score, merkle, neardup, pack_documents, pack_matrix, quality, spotsigs
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -71,9 +71,24 @@ def op10_chat_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.perspectives(_table(spark, sf_dir, "conversations"))
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fifty best of all documents for each benchmark item."""
+    return lexical.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaf, subroot, root and proof of every document, and whether the proof holds for a tampered text."""
+    return merkle.manifest(_table(spark, sf_dir, "documents"))
+
+
+def op13_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and of its edited text, and how like they and the next document's are."""
+    return spotsigs.edited_fingerprints(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_minhash_near_dedup, op2_quality_rules, op3_language_id, op4_token_matrices, op5_nearest_neighbours, op6_byte_bpe, op7_licence_scan, op8_best_fit_packing, op9_lm_scoring, op10_chat_perspectives)}
+    return {f.__name__: f for f in (op1_minhash_near_dedup, op2_quality_rules, op3_language_id, op4_token_matrices, op5_nearest_neighbours, op6_byte_bpe, op7_licence_scan, op8_best_fit_packing, op9_lm_scoring, op10_chat_perspectives, op11_ranked_search, op12_merkle_manifest, op13_fingerprints)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_quality_rules": quality.quality_sql(), "op10_chat_perspectives": chat.perspectives_sql()}
+    return {"op2_quality_rules": quality.quality_sql(), "op10_chat_perspectives": chat.perspectives_sql(), "op11_ranked_search": lexical.search_sql(), "op12_merkle_manifest": merkle.manifest_sql()}
