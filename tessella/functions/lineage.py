@@ -51,12 +51,12 @@ class Tables:
     def __init__(self, spark: SparkSession) -> None:
         self.spark, self.folder, self.n = spark, f"{shared_folder(spark)}/tables-{uuid.uuid4().hex}", 0
 
-    def put(self, df: DataFrame) -> DataFrame:
-        """``df`` as it reads from its written table."""
+    def put(self, df: DataFrame, **options: str) -> DataFrame:
+        """``df`` as it reads from its written table; ``options`` go to the writer."""
         self.n += 1
         path = f"{self.folder}/{self.n}"
         with shuffles_freed(self.spark):
-            df.write.parquet(path)
+            df.write.options(**options).parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._table = path
         return out
