@@ -13,6 +13,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +35,7 @@ class Search:
     #: Filter rows for each distinct term of the largest document of a block, to the next power of two; at most 2^20.
     rows_per_term: int = 8
     #: Distinct terms of all documents of a block.
-    block_terms: int = 1 << 17
+    block_terms: int = 1 << 16
     #: Terms of the queries that meet the index in one pass.
     load: int = 1 << 17
 
@@ -257,11 +258,11 @@ def search(docs: DataFrame, items: DataFrame, p: Search = Search()) -> DataFrame
     in two steps.
     """
     tables = Tables(docs.sparkSession)
-    blocks = tables.put(index(docs, p))
+    blocks = tables.put(index(docs, p), compression="uncompressed")  # hashes don't shrink; a codec would hold pages of many blocks off the heap
     asked = tables.put(queries_of(items))
     seen = blocks.agg(F.sum("n_docs"), F.sum("n_terms")).first()
     groups = -(-(asked.agg(F.sum(F.size("terms"))).first()[0] or 0) // p.load)
-    found = [docs.sparkSession.createDataFrame([], "item_id long, doc_id long, score long, looked long")]
+    found = []
     for g in range(groups if seen[0] else 0):
         rows = asked.where(F.pmod(F.xxhash64("item_id"), F.lit(groups)) == g).collect()
         if not rows:
@@ -272,9 +273,7 @@ def search(docs: DataFrame, items: DataFrame, p: Search = Search()) -> DataFrame
         weights = np.floor(1000 * np.log((2 * seen[0] + 2) / (2 * held + 1))).astype(np.int64)
         q = _Queries([r["item_id"] for r in rows], terms, [np.searchsorted(terms, x) for x in own], weights, seen[0], seen[1])
         found.append(_search(blocks, q, p))
-    every = found[0]
-    for part in found[1:]:
-        every = every.unionByName(part)
+    every = reduce(DataFrame.unionByName, found) if found else docs.sparkSession.createDataFrame([], "item_id long, doc_id long, score long, looked long")
     order = [F.col("score").desc(), "doc_id"]
     every = every.withColumn("k", F.row_number().over(Window.partitionBy("item_id", F.pmod(F.xxhash64("doc_id"), F.lit(16))).orderBy(*order))).where(F.col("k") <= p.top).drop("k")
     best = every.withColumn("rank", F.row_number().over(Window.partitionBy("item_id").orderBy(*order))).where(F.col("rank") <= p.top)
