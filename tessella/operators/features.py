@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.config import VALUE_TYPES, PanelConfig
+from tessella.functions.lineage import checkpoint
+from tessella.functions.joins import null_safe
+from tessella.functions.quantiles import quantiles
 from tessella.functions.stats import ratio
 
 
@@ -78,11 +81,11 @@ def interpolate_gaps(grid: DataFrame, max_gap: int) -> DataFrame:
 
 def impute_features(grid: DataFrame, max_gap: int) -> DataFrame:
     """Interpolation, then the median of (metric, year), then of the metric; ``is_imputed`` tells what was null."""
-    rows = interpolate_gaps(grid, max_gap)
-    by_year = rows.groupBy("metric_id", "year").agg(F.median("filled").alias("m"))
-    rows = rows.join(by_year, ["metric_id", "year"]).withColumn("filled", F.coalesce("filled", "m")).drop("m")
-    overall = rows.groupBy("metric_id").agg(F.median("filled").alias("m"))
-    rows = rows.join(overall, "metric_id").withColumn("filled", F.coalesce("filled", "m"))
+    rows = checkpoint(interpolate_gaps(grid, max_gap))
+    by_year = quantiles(rows, ["metric_id", "year"], "filled", {"m": 0.5})
+    rows = checkpoint(null_safe(rows, by_year, ["metric_id", "year"], "left").withColumn("filled", F.coalesce("filled", "m")).drop("m"))
+    overall = quantiles(rows, ["metric_id"], "filled", {"m": 0.5})
+    rows = null_safe(rows, overall, ["metric_id"], "left").withColumn("filled", F.coalesce("filled", "m"))
     return rows.select("entity", "metric_id", "year", F.col("filled").alias("value_harmonized"), F.col("value_harmonized").isNull().alias("is_imputed"))
 
 

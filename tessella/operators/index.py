@@ -8,7 +8,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessella.functions.stats import ordinal_rank, ratio, scaled
+from tessella.functions import ranking
+from tessella.functions.stats import ratio, scaled
 
 
 def domain_scores(features: DataFrame, metrics: DataFrame, domains: list[str]) -> DataFrame:
@@ -60,7 +61,7 @@ def dev_index(wide: DataFrame, domains: list[str], schemes: dict[str, dict[str,
 def index_ranking(dev: DataFrame, year: int, scheme: str) -> DataFrame:
     """The entities of a year and scheme by score."""
     rows = dev.where((F.col("year") == year) & (F.col("scheme") == scheme))
-    return rows.withColumn("position", ordinal_rank("total_score", "entity", "year", "scheme"))
+    return ranking.ordinal(rows, "position", "total_score", "entity", "year", "scheme")
 
 
 def custom_index(dev: DataFrame, year: int, weights: dict[str, float], base: str = "equal") -> DataFrame:
@@ -71,7 +72,7 @@ def custom_index(dev: DataFrame, year: int, weights: dict[str, float], base: str
     own = {d: w / total if total else 1 / len(own) for d, w in own.items()}
     rows = dev.where((F.col("year") == year) & (F.col("scheme") == base)).na.fill(0.0, list(own))
     rows = to_100(rows.withColumn("custom_score", weighted(list(own), own)), "custom_score").withColumn("custom_score", F.round("custom_score", 2))
-    rows = rows.withColumn("rank", ordinal_rank("custom_score", "entity", "year")).withColumn("base_rank", ordinal_rank("total_score", "entity", "year"))
+    rows = ranking.ordinal(ranking.ordinal(rows, "rank", "custom_score", "entity", "year"), "base_rank", "total_score", "entity", "year")
     return rows.select("entity", "custom_score", "rank", "base_rank", (F.col("base_rank") - F.col("rank")).alias("delta"))
 
 
@@ -110,7 +111,7 @@ def scenario(dev: DataFrame, year: int, entity: str, percentiles: dict[str, floa
 def domain_percentiles(dev: DataFrame, year: int, domains: list[str]) -> DataFrame:
     """(entity, domain, percentile): the share of the year's values up to the own one, in percent at one decimal."""
     rows = _year(dev, year, domains).unpivot("entity", domains, "domain", "value")
-    return rows.select("entity", "domain", F.round(100 * F.cume_dist().over(Window.partitionBy("domain").orderBy("value")), 1).alias("percentile"))
+    return ranking.share_up_to(rows, "share", "value", "entity", "domain").select("entity", "domain", F.round(100 * F.col("share"), 1).alias("percentile"))
 
 
 def scenario_sensitivity(dev: DataFrame, year: int, entity: str, domains: list[str]) -> DataFrame:
@@ -141,8 +142,8 @@ def decompose_index(dev: DataFrame, domains: list[str], schemes: dict[str, dict[
 
 def region_dashboard(dev: DataFrame, domains: list[str], year: int, scheme: str) -> DataFrame:
     """Per entity and domain: score, last year's, change; and the total's rank, number of entities and change."""
-    rows = dev.where((F.col("scheme") == scheme) & F.col("year").isin(year, year - 1)).withColumn("rank", ordinal_rank("total_score", "entity", "year", "scheme"))
-    rows = rows.withColumn("of", F.count("*").over(Window.partitionBy("year", "scheme")))
+    rows = ranking.placed(dev.where((F.col("scheme") == scheme) & F.col("year").isin(year, year - 1)), "total_score", "entity", "year", "scheme", descending=True)
+    rows = rows.withColumn("rank", F.col("_place")).withColumn("of", F.col("_of"))
     now, old = rows.where(F.col("year") == year), rows.where(F.col("year") == year - 1)
     old = old.select("entity", F.col("total_score").alias("old_total"), *[F.col(d).alias(f"old_{d}") for d in domains])
     each = [F.struct(F.lit(d).alias("domain"), F.col(d).alias("score"), F.col(f"old_{d}").alias("previous")) for d in domains]

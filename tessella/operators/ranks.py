@@ -5,13 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessella.functions.stats import average_rank, correlation, ordinal_rank, ratio
+from tessella.functions import ranking
+from tessella.functions.gram import gram
+from tessella.functions.joins import null_safe
+from tessella.functions.quantiles import quantiles
+from tessella.functions.stats import correlation, ratio
 
 
 def ranked(dev: DataFrame) -> DataFrame:
     """(entity, year, scheme, total_score, rank) of the rows with a score."""
     rows = dev.where("total_score is not null").select("entity", "year", "scheme", "total_score")
-    return rows.withColumn("rank", ordinal_rank("total_score", "entity", "scheme", "year"))
+    return ranking.ordinal(rows, "rank", "total_score", "entity", "scheme", "year")
 
 
 def rank_stability(dev: DataFrame, min_years: int) -> DataFrame:
@@ -37,7 +41,7 @@ def scheme_agreement(dev: DataFrame) -> DataFrame:
     b = rows.select("entity", "year", F.col("scheme").alias("scheme_b"), F.col("total_score").alias("y"))
     both = a.join(b, ["entity", "year"]).where("scheme_a < scheme_b")
     key = ["year", "scheme_a", "scheme_b"]
-    both = both.withColumn("rx", average_rank("x", *key)).withColumn("ry", average_rank("y", *key))
+    both = ranking.average(ranking.average(both, "rx", "x", "entity", *key), "ry", "y", "entity", *key)
     return both.groupBy(*key).agg(F.round(correlation("rx", "ry"), 4).alias("spearman"), F.count("*").alias("n")).where("n >= 3")
 
 
@@ -50,20 +54,21 @@ def dispersion(features: DataFrame, metrics: DataFrame, least: int) -> DataFrame
     """Spread of the harmonised values per (metric, year); relative measures only for positive ratio scales."""
     v = "value_harmonized"
     out = features.groupBy("metric_id", "year").agg(
-        F.count(v).alias("n"), F.avg(v).alias("mean"), F.percentile(v, F.lit(0.5)).alias("median"), F.stddev_samp(v).alias("std"), F.percentile(v, F.lit(0.1)).alias("p10"), F.percentile(v, F.lit(0.9)).alias("p90"),
-        (F.percentile(v, F.lit(0.75)) - F.percentile(v, F.lit(0.25))).alias("iqr"), (F.max(v) - F.min(v)).alias("range"),
+        F.count(v).alias("n"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"), (F.max(v) - F.min(v)).alias("range"),
     ).where(F.col("n") >= least).join(metrics.select("metric_id", "value_type"), "metric_id")
+    shares = {"p10": 0.1, "p25": 0.25, "median": 0.5, "p75": 0.75, "p90": 0.9}
+    out = null_safe(out, quantiles(features, ["metric_id", "year"], v, shares), ["metric_id", "year"]).withColumn("iqr", F.col("p75") - F.col("p25"))
     scale = F.col("value_type").isin("absolute", "per_capita", "share")
     out = out.withColumn("cv", F.when(scale & (F.col("mean") > 0), ratio(F.col("std"), F.col("mean")))).withColumn("p90_p10", F.when(scale & (F.col("p10") > 0), ratio(F.col("p90"), F.col("p10"))))
-    return out.drop("value_type")
+    return out.select("metric_id", "year", "n", "mean", "median", "std", "p10", "p90", "iqr", "range", "cv", "p90_p10")
 
 
 def index_dispersion(dev: DataFrame, least: int = 5) -> DataFrame:
     """Spread of the index per (year, scheme), with population deviation and Gini coefficient."""
     key, s = ["year", "scheme"], "total_score"
-    rows = dev.where("total_score is not null").withColumn("i", F.row_number().over(Window.partitionBy(*key).orderBy(s, "entity")))
-    out = rows.groupBy(*key).agg(F.count("*").alias("n"), F.avg(s).alias("mean"), F.stddev_pop(s).alias("std"), F.percentile(s, F.lit(0.1)).alias("p10"), F.percentile(s, F.lit(0.9)).alias("p90"), F.sum(s).alias("_sum"), F.sum(F.col("i") * F.col(s)).alias("_isum"))
-    out = out.where(F.col("n") >= least)
+    rows = ranking.ordinal(dev.where("total_score is not null").select(*key, "entity", s), "i", s, "entity", *key, descending=False)
+    out = rows.groupBy(*key).agg(F.count("*").alias("n"), F.avg(s).alias("mean"), F.stddev_pop(s).alias("std"), F.sum(s).alias("_sum"), F.sum(F.col("i") * F.col(s)).alias("_isum"))
+    out = null_safe(out.where(F.col("n") >= least), quantiles(rows, key, s, {"p10": 0.1, "p90": 0.9}), key)
     gini = F.when(F.col("_sum") > 0, ratio(2 * F.col("_isum") - (F.col("n") + 1) * F.col("_sum"), F.col("n") * F.col("_sum")))
     return out.withColumn("cv", F.when(F.col("mean") > 0, ratio(F.col("std"), F.col("mean")))).withColumn("p90_p10", F.when(F.col("p10") > 0, ratio(F.col("p90"), F.col("p10")))).withColumn("gini", gini).drop("_sum", "_isum")
 
@@ -79,7 +84,11 @@ def beta_convergence(dev: DataFrame, least: int = 5) -> DataFrame:
 
 
 def metric_correlations(features: DataFrame, method: str, least: int) -> DataFrame:
-    """(year, metric_a < metric_b, r, n): pairwise correlations over the entities that have every metric of the year."""
+    """(year, metric_a < metric_b, r, n): pairwise correlations over the entities that have every metric of the year.
+
+    Values, or their average ranks, are centred and scaled to length one by metric, so that correlations are the Gram
+    matrix of the entities' vectors; a metric without spread has none.
+    """
     if method not in ("spearman", "pearson"):
         raise ValueError(f"unknown method: {method}")
     rows = features.where("value_harmonized is not null").select("entity", "year", "metric_id", F.col("value_harmonized").alias("v"))
@@ -87,11 +96,14 @@ def metric_correlations(features: DataFrame, method: str, least: int) -> DataFra
     whole = rows.groupBy("year", "entity").agg(F.count("*").alias("k")).join(full, "year").where("k = m").select("year", "entity")
     rows = rows.join(whole, ["year", "entity"], "left_semi")
     if method == "spearman":
-        rows = rows.withColumn("v", average_rank("v", "year", "metric_id"))
-    a = rows.select("year", "entity", F.col("metric_id").alias("metric_a"), F.col("v").alias("x"))
-    b = rows.select("year", "entity", F.col("metric_id").alias("metric_b"), F.col("v").alias("y"))
-    pairs = a.join(b, ["year", "entity"]).where("metric_a < metric_b").groupBy("year", "metric_a", "metric_b").agg(correlation("x", "y").alias("r"), F.count("*").alias("n"))
-    return pairs.where((F.col("n") >= least) & F.col("r").isNotNull())
+        rows = ranking.average(rows, "rank", "v", "entity", "year", "metric_id").select("entity", "year", "metric_id", F.col("rank").alias("v"))
+    stats = rows.groupBy("year", "metric_id").agg(F.count("*").alias("n"), F.avg("v").alias("m"), (F.stddev_pop("v") * F.sqrt(F.count("*"))).alias("size"), (F.max("v") == F.min("v")).alias("flat"))
+    rows = rows.join(stats, ["year", "metric_id"]).where((F.col("n") >= least) & ~F.col("flat"))
+    # a year's vectors hold the same metrics, so a place in them is that of the metric in the year's sorted list
+    vectors = rows.groupBy("year", "entity").agg(F.array_sort(F.collect_list(F.struct("metric_id", ((F.col("v") - F.col("m")) / F.col("size")).alias("z")))).alias("s"))
+    names = stats.where((F.col("n") >= least) & ~F.col("flat")).groupBy("year").agg(F.sort_array(F.collect_list("metric_id")).alias("ids"), F.first("n").alias("n"))
+    found = gram(vectors.select(F.col("year").alias("key"), F.transform("s", lambda x: x["z"]).alias("x"))).withColumnRenamed("key", "year").join(names, "year")
+    return found.select("year", F.col("ids")[F.col("i").cast("int")].alias("metric_a"), F.col("ids")[F.col("j").cast("int")].alias("metric_b"), F.col("g").alias("r"), "n")
 
 
 def top_correlations(corr: DataFrame, metrics: DataFrame, year: int | None = None, metric: int | None = None, limit: int = 10) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.ml.classification import RandomForestClassifier
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessella.functions import ranking
 from tessella.functions.lineage import checkpoint
 from tessella.functions.stats import ratio
 from tessella.operators.features import profile_vector
@@ -293,9 +294,8 @@ def twins_of(found: DataFrame, regions: DataFrame, entity: str, year: int) -> Da
 def region_vs_type(features: DataFrame, clusters: DataFrame) -> DataFrame:
     """Per (entity, year, metric): the gap to the cluster's mean, the cluster's size, and the share of the other members
     that are strictly closer to the centre (null for a single member)."""
-    key = Window.partitionBy("year", "cluster_id")
     far = centroid_distances(features, clusters).withColumn("distance", F.round("distance", 8))
-    far = far.withColumn("n", F.count("*").over(key)).withColumn("closer", F.rank().over(key.orderBy("distance")) - 1)
+    far = ranking.shared(far, "r", "n", "distance", "entity", "year", "cluster_id").withColumn("closer", F.col("r") - 1)
     far = far.select("entity", "year", "cluster_id", F.col("n").alias("cluster_size"), ratio(F.col("closer"), F.when(F.col("n") > 1, F.col("n") - 1)).alias("typicality"))
     rows = features.join(far, ["entity", "year"]).join(cluster_profile(features, clusters), ["year", "cluster_id", "metric_id"])
     return rows.select("entity", "year", "cluster_id", "metric_id", (F.col("z_value") - F.col("mean_z")).alias("gap"), "typicality", "cluster_size")
