@@ -90,11 +90,12 @@ def edges(spark: SparkSession, d: str) -> DataFrame:
     return near.join(n.select(F.col("n_nationkey").alias("o")), "o", "left_semi").select(name("n_nationkey").alias("src"), name("o").alias("dst"))
 
 
-def canonical(spark: SparkSession, d: str) -> DataFrame:
-    """Raw long rows with the 14 canonical columns: values of orders by priority, status, nation and year in 3 editions."""
+def canonical(spark: SparkSession, d: str, edition: int | None = None) -> DataFrame:
+    """Raw long rows with the 14 canonical columns: values of orders by priority, status, nation and year in 3 editions (or one)."""
     o, c, n = table(spark, d, "orders"), table(spark, d, "customer").select("c_custkey", "c_nationkey"), table(spark, d, "nation").select("n_nationkey", "n_name")
     rows = o.join(c, o.o_custkey == c.c_custkey).join(F.broadcast(n), F.col("c_nationkey") == F.col("n_nationkey"))
     rows = rows.groupBy("o_orderpriority", "o_orderstatus", "n_nationkey", "n_name", F.year("o_orderdate").cast("long").alias("year"), (F.col("o_orderkey") % 3).alias("k")).agg(F.sum("o_totalprice").alias("total"), F.count("*").alias("n"))
+    rows = rows.where(F.col("k") == edition) if edition is not None else rows
     k, key, mod = F.col("k").cast("string"), F.col("n_nationkey").cast("string"), lambda m: F.col("n_nationkey") % m
     units = F.when(F.col("o_orderpriority") == "1-URGENT", "Percent of total").when(F.col("o_orderpriority") == "2-HIGH", "thousand units").when(F.col("o_orderpriority") == "3-MEDIUM", " ND ").when(F.col("o_orderpriority") == "4-NOT SPECIFIED", "per 1000 people")
     return rows.select(

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,8 +15,8 @@ from tessella.functions.stats import rounded
 from tessella.operators import anomalies, etl, features, index, quality, ranks, spatial, typology
 from tessella.plans import demo, serve
 from tessella.plans.demo import DOMAINS, EXPERT, POPULATION, SCHEMES, YEARS
-from tessella.sources import tables
-from tessella.streaming.intake import stream_intake
+from tessella.sources import tables, versions
+from tessella.streaming.intake import read_intake, stream_intake
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -70,26 +71,28 @@ def _stored(s: SparkSession, d: str) -> DataFrame:
 
 
 def _taken_in(s: SparkSession, d: str) -> DataFrame:
-    """Rows by year of raw files that arrived between two runs of the intake; a third run finds nothing new."""
+    """Rows by year after three files: the newest edition first, then an older one of the same keys, then one without."""
     folder = _folder(s)
-    for part in ("year < 1998", "year >= 1998", None):
-        if part:
-            demo.canonical(s, d).where(part).write.mode("append").parquet(f"{folder}/in")
+    for part in (1, 0, 2, None):
+        if part is not None:
+            demo.canonical(s, d, part).write.mode("append").parquet(f"{folder}/in")
         stream_intake(s, f"{folder}/in", f"{folder}/state", f"{folder}/out")
-    return s.read.parquet(f"{folder}/out").groupBy("year").agg(F.count("*").alias("n"), F.sum("indicator_value").alias("total"))
+    return read_intake(s, f"{folder}/out").groupBy("year").agg(F.count("*").alias("n"), F.sum("indicator_value").alias("total"))
 
 
 def _published(s: SparkSession, d: str) -> DataFrame:
-    """What a version's table holds after one publication and two that the gate refuses."""
-    folder, fact = _folder(s), demo.fact(s, d)
-    done = [tables.publish_snapshot(new, fact.where("year < 2000"), folder, "current", 10, 40) for new in (fact, fact.where("year < 1996"), fact.where("entity < '05'"))]
-    return tables.read_table(s, folder, "current").groupBy("year").agg(F.count("*").alias("n")).withColumn("accepted", F.lit(sum(done)).cast("long"))
+    """What readers see after two versions that pass the gate, and one each with old years, few entities, a table missing."""
+    folder, fact, regions, gate = _folder(s), demo.fact(s, d), demo.regions(s, d), versions.Gate(("regions", "fact"), (10, 40))
+    tried = [(fact.where("year < 2000"), regions), (fact, regions), (fact.where("year < 1996"), regions), (fact, regions.where("entity < '05'")), (fact, None)]
+    faults = [versions.publish(s, {"fact": f} | ({"regions": r} if r is not None else {}), folder, f"v{k}", gate) for k, (f, r) in enumerate(tried)]
+    seen = versions.read_published(s, folder, "fact").groupBy("year").agg(F.count("*").alias("n"))
+    return seen.select("year", "n", F.lit(versions.published_version(s, folder)).alias("version"), F.lit(sum(not f for f in faults)).cast("long").alias("accepted"))
 
 
 _add("a4_stored_table", _stored, "entity, metric_id:i, year:i, value:d, source, n_tables:i | SELECT *, 2 AS n_tables FROM fact")
 _add("a6_check_incoming", lambda s, d: tables.check_incoming(s, f"{d}/orders.parquet"), f"ok, missing, rows:i | SELECT false AS ok, '{','.join(contracts.CANONICAL)}' AS missing, count(*) AS rows FROM orders")
-_add("a7_stream_intake", _taken_in, "year:i, n:i, total:d | SELECT year, count(*) AS n, sum(indicator_value) AS total FROM canon GROUP BY 1")
-_add("a8_publish_snapshot", _published, "year:i, n:i, accepted:i | SELECT year, count(*) AS n, 1 AS accepted FROM fact GROUP BY 1")
+_add("a7_stream_intake", _taken_in, "year:i, n:i, total:d | SELECT year, count(*) AS n, sum(indicator_value) AS total FROM latest GROUP BY 1")
+_add("a8_publish_snapshot", _published, "year:i, n:i, version, accepted:i | SELECT year, count(*) AS n, 'v1' AS version, 2 AS accepted FROM fact GROUP BY 1")
 
 
 def _geojson(s: SparkSession, d: str) -> DataFrame:
@@ -99,8 +102,17 @@ def _geojson(s: SparkSession, d: str) -> DataFrame:
 
 _add("a5_geojson_vertices", lambda s, d: tables.parse_vertices(_geojson(s, d)),
      "entity, x:d, y:d | SELECT lpad(n_nationkey::VARCHAR, 2, '0') AS entity, unnest([n_nationkey + 0.5, n_nationkey + 1.5, n_nationkey + 1.5, -n_nationkey]) AS x, unnest([0.25, 0.25, 1.0, 70.0]) AS y FROM nation")
-_add("a8_validate_snapshot", lambda s, d: tables.validate_snapshot(demo.fact(s, d), demo.fact(s, d).where("year < 2000"), 10, 40),
-     "rows:i, entities:i, last_year:i, published_year:i, ok | SELECT count(*) AS rows, count(DISTINCT entity) AS entities, max(year) AS last_year, max(year) FILTER (year < 2000) AS published_year, true AS ok FROM fact")
+_SNAPSHOTS = {"same": "true", "old": "year < 1998", "few": "entity < '05'", "none": "false"}
+
+
+def _validated(s: SparkSession, d: str) -> DataFrame:
+    fact = demo.fact(s, d)
+    each = [tables.validate_snapshot(fact.where(rule), fact.where("year < 2000"), 10, 40).withColumn("snapshot", F.lit(name)) for name, rule in _SNAPSHOTS.items()]
+    return reduce(DataFrame.unionByName, each)
+
+
+_add("a8_validate_snapshot", _validated, "snapshot, rows:i, entities:i, last_year:i, published_year:i, ok | SELECT *, coalesce(rows > 0 AND entities BETWEEN 10 AND 40 AND last_year >= published_year, false) AS ok FROM ("
+     + " UNION ALL ".join(f"SELECT '{name}' AS snapshot, count(*) AS rows, count(DISTINCT entity) AS entities, max(year) AS last_year, (SELECT max(year) FROM fact WHERE year < 2000) AS published_year FROM fact WHERE {rule}" for name, rule in _SNAPSHOTS.items()) + ")")
 _add("b1_metric_dim", lambda s, d: etl.build_metric_dim(demo.canonical(s, d)), "metric_id:i, indicator_code, subsection, metric_name, unit, section | SELECT * FROM mdim0")
 
 

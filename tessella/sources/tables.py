@@ -1,4 +1,4 @@
-"""Reading and checking raw files, storing tables, and the publish gate."""
+"""Reading and checking raw files, storing tables, and the gate on a new snapshot."""
 
 from __future__ import annotations
 
@@ -80,11 +80,3 @@ def validate_snapshot(new: DataFrame, current: DataFrame, low: int, high: int) -
     seen = new.agg(F.count("*").alias("rows"), F.countDistinct("entity").alias("entities"), F.max("year").alias("last_year"))
     ok = (F.col("rows") > 0) & F.col("entities").between(low, high) & (F.col("last_year") >= F.coalesce("published_year", "last_year"))
     return seen.crossJoin(last).withColumn("ok", F.coalesce(ok, F.lit(False)))
-
-
-def publish_snapshot(new: DataFrame, current: DataFrame, folder: str, version: str, low: int, high: int) -> bool:
-    """Write ``new`` as a new version if the gate holds; what is published stays otherwise."""
-    if not validate_snapshot(new, current, low, high).first().ok:
-        return False
-    write_table(new, folder, version)
-    return True
