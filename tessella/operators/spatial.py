@@ -5,19 +5,28 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessella.functions.lineage import checkpoint
 from tessella.functions.stats import ratio
 
 
-def build_adjacency(vertices: DataFrame, least: int = 2) -> DataFrame:
+def build_adjacency(vertices: DataFrame, least: int = 2, block: int = 1024) -> DataFrame:
     """(src, dst) in both directions of entities that share at least ``least`` of their distinct vertices (entity, vertex).
 
-    The self-join is by vertex; vertices of a single entity leave before it.
+    Two entities that share so many also share one when each leaves out its ``least - 1`` most common ones, so those
+    bring no pairs together: a vertex that all entities have is never paired. Members of a vertex that is left meet in
+    pairs of blocks of about ``block``, which are keys of their own; pairs are then held against both whole lists.
+    Null entities and vertices are left out.
     """
-    rows = vertices.select("entity", "vertex").distinct()
-    shared = rows.groupBy("vertex").agg(F.count("*").alias("k")).where("k > 1").select("vertex")
-    rows = rows.join(shared, "vertex", "left_semi")
-    a, b = rows.select("vertex", F.col("entity").alias("src")), rows.select("vertex", F.col("entity").alias("dst"))
-    pairs = a.join(b, "vertex").where("src < dst").groupBy("src", "dst").count().where(F.col("count") >= least).select("src", "dst")
+    rows = vertices.where("entity is not null and vertex is not null").select("entity", "vertex").distinct()
+    sizes = rows.groupBy("vertex").agg(F.count("*").alias("k")).where("k > 1")
+    lists = checkpoint(rows.join(sizes, "vertex").groupBy("entity").agg(F.sort_array(F.collect_list(F.struct("k", "vertex"))).alias("v")).where(F.size("v") >= least))
+    rare = lists.select("entity", F.explode(F.slice("v", F.lit(1), F.size("v") - (least - 1))).alias("x")).select("entity", "x.vertex", F.ceil(F.col("x.k") / block).cast("int").alias("n"))
+    rare = rare.withColumn("own", F.pmod(F.xxhash64("entity"), F.col("n")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    low, high = F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")
+    a, b = (rare.select("vertex", low, high, F.col("own").alias(f"{s}_own"), F.col("entity").alias(s)) for s in ("src", "dst"))
+    met = a.join(b, ["vertex", "i", "j"]).where("src < dst and (i = j or src_own <> dst_own)").select("src", "dst").distinct()
+    of = lambda s: lists.select(F.col("entity").alias(s), F.transform("v", lambda x: x["vertex"]).alias(f"{s}_v"))
+    pairs = met.join(of("src"), "src").join(of("dst"), "dst").where(F.size(F.array_intersect("src_v", "dst_v")) >= least).select("src", "dst")
     return pairs.union(pairs.select("dst", "src"))
 
 
@@ -84,12 +93,14 @@ def moran_local(dev: DataFrame, edges: DataFrame, permutations: int = 999, seed:
     """``moran_local_parts`` with two-sided conditional-permutation p-values; a quadrant that isn't significant is ns.
 
     A permutation hands an entity with k neighbours the first k others in its order, so only the first entities of an
-    order, one more than the largest number of neighbours, meet the slice.
+    order, one more than the largest number of neighbours, meet the slice. That number is known before the orders are
+    made, so each task hands on its own first entities alone (``windowGroupLimitThreshold`` allows a number up to 1000).
     """
     key = ["scheme", "year"]
     rows = _lags(dev, edges)
     most = rows.groupBy(*key).agg(F.max("n_neighbors").alias("most"))
-    first = _shuffled(rows.select(*key, "entity", "d"), permutations, seed).join(most, key).where("place <= most + 1")
+    ahead = (most.agg(F.max("most")).first()[0] or 0) + 1
+    first = _shuffled(rows.select(*key, "entity", "d"), permutations, seed).where(F.col("place") <= ahead).join(most, key).where("place <= most + 1")
     first = first.groupBy(*key, "p").agg(F.array_sort(F.collect_list(F.struct("place", "entity", "d"))).alias("order"))
     drawn = F.slice(F.filter("order", lambda o: o["entity"] != F.col("entity")), 1, F.col("n_neighbors").cast("int"))
     mean = F.aggregate(drawn, F.lit(0.0), lambda t, o: t + o["d"]) / F.col("n_neighbors")

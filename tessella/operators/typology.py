@@ -2,21 +2,23 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 from functools import reduce
-from itertools import permutations
 
 import numpy as np
 import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.ml.functions import array_to_vector
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessella.functions import ranking
 from tessella.functions.lineage import checkpoint
 from tessella.functions.stats import ratio
 from tessella.operators.features import profile_vector
+from tessella.sources.versions import get_text, names, put_text
 
 
 def _far(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
@@ -102,10 +104,49 @@ def cluster_by_period(features: DataFrame, k: int, seed: int = 42, starts: int =
     return _nearest(rows, {y: c for (y, _), c in _best_centres(rows, [k], seed, starts).items()})
 
 
-def cluster_quality(features: DataFrame, clusters: DataFrame) -> DataFrame:
+def distance_sums(profiles: DataFrame, block: int = 1024) -> DataFrame:
+    """(entity, year, cluster_id, c, far): the sum of Euclidean distances of each profile (entity, year, cluster_id,
+    profile) to the members of each cluster of its year. Entities meet as matrices, block by block of a year."""
+    sizes = profiles.groupBy("year").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    rows = profiles.join(sizes, "year").withColumn("own", F.pmod(F.xxhash64("entity"), F.col("blocks")).cast("int"))
+    dealt = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    left = dealt.select("year", F.col("own").alias("i"), F.col("other").alias("j"), "entity", "cluster_id", "profile").groupBy("year", "i", "j")
+    fresh = [F.col(c).alias(c) for c in ("year", "entity", "cluster_id", "profile")]  # the sides of a cogroup may share no attribute
+    right = dealt.select(F.col("other").alias("i"), F.col("own").alias("j"), *fresh).groupBy("year", "i", "j")
+
+    def run(key: tuple, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if a.empty or b.empty:
+            return pd.DataFrame({"entity": [], "year": [], "cluster_id": [], "c": [], "far": []})
+        x, y = (np.array(s["profile"].tolist(), dtype=np.float64) for s in (a, b))
+        middle = y.mean(axis=0)  # distances from products lose fewer digits near the middle
+        far = np.sqrt(np.maximum(_far(x - middle, y - middle), 0))
+        far[a["entity"].to_numpy()[:, None] == b["entity"].to_numpy()[None, :]] = 0
+        labels, at = np.unique(b["cluster_id"].to_numpy(), return_inverse=True)
+        sums = far @ np.eye(len(labels))[at]
+        row, col = (v.ravel() for v in np.indices(sums.shape))
+        return pd.DataFrame({"entity": a["entity"].to_numpy()[row], "year": key[0], "cluster_id": a["cluster_id"].to_numpy()[row], "c": labels[col], "far": sums.ravel()})
+
+    found = left.cogroup(right).applyInPandas(run, "entity string, year long, cluster_id long, c long, far double")
+    return found.groupBy("entity", "year", "cluster_id", "c").agg(F.sum("far").alias("far"))
+
+
+def euclidean_silhouette(features: DataFrame, clusters: DataFrame, block: int = 1024) -> DataFrame:
+    """(year, silhouette): the mean over a year's entities of (b - a) / max(a, b), a the mean distance to the others of
+    the own cluster and b the least mean distance to another one; 0 in a cluster of one, null without two clusters."""
+    sums = distance_sums(profile_vector(features).join(clusters, ["entity", "year"]), block)
+    sizes = clusters.groupBy("year", F.col("cluster_id").alias("c")).agg(F.count("*").alias("n"))
+    own = F.col("c") == F.col("cluster_id")
+    each = sums.join(sizes, ["year", "c"]).groupBy("year", "entity").agg(
+        F.max(F.when(own & (F.col("n") > 1), F.col("far") / (F.col("n") - 1))).alias("a"), F.min(F.when(~own, F.col("far") / F.col("n"))).alias("b"))
+    s = F.when(F.col("b").isNull(), None).when(F.col("a").isNull(), 0.0).otherwise(F.coalesce(ratio(F.col("b") - F.col("a"), F.greatest("a", "b")), F.lit(0.0)))
+    return each.groupBy("year").agg(F.avg(s).alias("silhouette"))
+
+
+def cluster_quality(features: DataFrame, clusters: DataFrame, squared: bool = True) -> DataFrame:
     """Per year: silhouette, Davies-Bouldin and Calinski-Harabasz of given labels; null with under two clusters.
 
-    Silhouette is exact for squared distances, in closed form from each cluster's sums, so no pair is formed.
+    With ``squared`` the silhouette is that of squared distances, in closed form from each cluster's sums, so no pair is
+    formed; else that of distances, by ``distance_sums``.
     """
     rows = features.join(clusters, ["entity", "year"]).select("entity", "year", "metric_id", F.col("z_value").alias("z"), "cluster_id")
     size = clusters.groupBy("year", F.col("cluster_id").alias("c")).agg(F.count("*").alias("n"))
@@ -123,11 +164,16 @@ def cluster_quality(features: DataFrame, clusters: DataFrame) -> DataFrame:
     apart = apart.join(spread.select("year", F.col("c").alias("i"), F.col("s").alias("si")), ["year", "i"]).join(spread.select("year", F.col("c").alias("j"), F.col("s").alias("sj")), ["year", "j"])
     db = apart.groupBy("year", "i").agg(F.max(ratio(F.col("si") + F.col("sj"), F.col("dist"))).alias("worst")).groupBy("year").agg(F.avg("worst").alias("davies_bouldin"))
     ch = F.when((F.col("k") > 1) & (F.col("n") > F.col("k")), ratio((F.col("total") - F.col("within")) * (F.col("n") - F.col("k")), F.col("within") * (F.col("k") - 1)))
+    if not squared:
+        sil = sil.drop("silhouette").join(euclidean_silhouette(features, clusters), "year")
     return sil.join(grand, "year").join(db, "year", "left").select("year", F.when(F.col("k") > 1, F.col("silhouette")).alias("silhouette"), "davies_bouldin", ch.alias("calinski_harabasz"))
 
 
-def choose_k(features: DataFrame, k_range: range, seed: int = 42, starts: int = 10) -> DataFrame:
-    """(k, mean_silhouette) best first; the smaller k on a tie. Numbers from the smallest year's entities on are left out."""
+def choose_k(features: DataFrame, k_range: range, seed: int = 42, starts: int = 10, squared: bool = False) -> DataFrame:
+    """(k, mean_silhouette) best first; the smaller k on a tie. Numbers from the smallest year's entities on are left out.
+
+    The silhouette is that of distances, exact and quadratic in a year's entities, or with ``squared`` that of squares.
+    """
     rows = checkpoint(profile_vector(features))
     least = rows.groupBy("year").count().agg(F.min("count")).first()[0] or 0
     ks = [k for k in k_range if k < least]
@@ -135,20 +181,67 @@ def choose_k(features: DataFrame, k_range: range, seed: int = 42, starts: int =
         raise ValueError("every k of the range needs more entities than the smallest year has")
     found = _best_centres(rows, ks, seed, starts)
     out = [
-        cluster_quality(features, _nearest(rows, {y: c for (y, own), c in found.items() if own == k})).agg(F.avg("silhouette").alias("mean_silhouette")).withColumn("k", F.lit(k).cast("long"))
+        cluster_quality(features, _nearest(rows, {y: c for (y, own), c in found.items() if own == k}), squared).agg(F.avg("silhouette").alias("mean_silhouette")).withColumn("k", F.lit(k).cast("long"))
         for k in ks
     ]
     return reduce(DataFrame.unionByName, out).select("k", "mean_silhouette").orderBy(F.round("mean_silhouette", 9).desc_nulls_last(), "k")
 
 
 def best_assignment(overlap: np.ndarray) -> list[int]:
-    """For each current label the previous one, so that the overlap is largest; the first in order on a tie."""
-    k = len(overlap)
-    return list(max(permutations(range(k)), key=lambda p: (sum(overlap[p[c], c] for c in range(k)), tuple(-x for x in p))))
+    """For each current label (column) the previous one (row), each at most once, so that the overlap is largest; the
+    first in order on a tie. Of more labels than before, some get numbers past the last row.
+
+    Shortest augmenting paths over row and column prices, k^3 steps. An overlap counts more than all that order can add.
+    """
+    k = max(overlap.shape)
+    square = np.zeros((k, k), dtype=np.int64)
+    square[: overlap.shape[0], : overlap.shape[1]] = overlap
+    price = [[-int(square[p, c]) * k**k + p * k ** (k - 1 - c) for p in range(k)] for c in range(k)]
+    of_col, of_row, taken = [0] * k, [0] * k, [-1] * k  # taken: the column that has a row
+    for start in range(k):
+        near, back, seen, c, end = [None] * k, [-1] * k, [False] * k, start, -1
+        while end < 0:
+            best = None
+            for p in range(k):
+                if seen[p]:
+                    continue
+                far = price[c][p] - of_col[c] - of_row[p]
+                if near[p] is None or far < near[p]:
+                    near[p], back[p] = far, c
+                if best is None or near[p] < near[best]:
+                    best = p
+            step = near[best]
+            of_col[start] += step
+            for p in range(k):
+                if seen[p]:
+                    of_row[p] -= step
+                    of_col[taken[p]] += step
+                elif near[p] is not None:
+                    near[p] -= step
+            seen[best] = True
+            if taken[best] < 0:
+                end = best
+            else:
+                c = taken[best]
+        while end >= 0:
+            c = back[end]
+            before = next((p for p in range(k) if taken[p] == c), -1)
+            taken[end] = c
+            end = -1 if c == start else before
+    rows = [0] * k
+    for p, c in enumerate(taken):
+        rows[c] = p
+    return rows[: overlap.shape[1]]
 
 
 def align_labels(clusters: DataFrame, k: int) -> DataFrame:
-    """Labels renamed year by year to overlap most with the year before; only k x k counts a year reach the driver."""
+    """Labels renamed year by year to overlap most with the year before; only k x k counts a year reach the driver.
+
+    Years may use fewer than ``k`` labels; a label outside 0 to k - 1 is an error.
+    """
+    wrong = clusters.where(~F.col("cluster_id").between(0, k - 1)).select("cluster_id").first()
+    if wrong:
+        raise ValueError(f"label {wrong[0]} is not one of {k}")
     pairs = clusters.select("entity", "year", "cluster_id", F.lag("cluster_id").over(Window.partitionBy("entity").orderBy("year")).alias("p"), F.lag("year").over(Window.partitionBy("entity").orderBy("year")).alias("py"))
     counts: dict[int, np.ndarray] = {}
     for r in pairs.where("py = year - 1").groupBy("year", "p", "cluster_id").count().collect():
@@ -270,15 +363,20 @@ def twins(profiles: DataFrame, top: int = 5, block: int = 512) -> DataFrame:
         return x / np.where(norm == 0, 1, norm)
 
     def run(key: tuple, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        out = []  # a block without partners gives nothing
-        if len(a) and len(b):
-            sim, names, own = np.round(unit(a["profile"]) @ unit(b["profile"]).T, 8) + 0.0, b["entity"].to_numpy(), a["entity"].to_numpy()
-            order = np.argsort(names, kind="stable")
-            for r in range(len(own)):
-                best = order[np.argsort(-sim[r, order], kind="stable")]
-                best = best[names[best] != own[r]][:top]
-                out.append(pd.DataFrame({"entity": own[r], "year": key[0], "twin": names[best], "similarity": sim[r, best]}))
-        return pd.concat(out) if out else pd.DataFrame({"entity": [], "year": [], "twin": [], "similarity": []})
+        if a.empty or b.empty:  # a block without partners gives nothing
+            return pd.DataFrame({"entity": [], "year": [], "twin": [], "similarity": []})
+        b = b.sort_values("entity")
+        names, own = b["entity"].to_numpy(), a["entity"].to_numpy()
+        sim = np.round(unit(a["profile"]) @ unit(b["profile"]).T, 8) + 0.0
+        sim[own[:, None] == names[None, :]] = -np.inf
+        # all that reach a row's top-th value, then its first ``top`` of them, equal ones by name
+        least = -np.partition(-sim, min(top, sim.shape[1]) - 1, axis=1)[:, min(top, sim.shape[1]) - 1]
+        row, col = np.nonzero((sim >= least[:, None]) & (sim > -np.inf))
+        order = np.lexsort((col, -sim[row, col], row))
+        row, col = row[order], col[order]
+        keep = np.arange(len(row)) - np.searchsorted(row, row) < top
+        row, col = row[keep], col[keep]
+        return pd.DataFrame({"entity": own[row], "year": key[0], "twin": names[col], "similarity": sim[row, col]})
 
     found = left.cogroup(right).applyInPandas(run, "entity string, year long, twin string, similarity double")
     order = Window.partitionBy("entity", "year").orderBy(F.col("similarity").desc(), "twin")
@@ -302,15 +400,46 @@ def region_vs_type(features: DataFrame, clusters: DataFrame) -> DataFrame:
 
 
 def train_typology_model(profiles: DataFrame, folds: int = 5, seed: int = 42) -> tuple[PipelineModel, DataFrame]:
-    """A random forest from profile (vector ``features``) to cluster_id, and its stratified cross-validated accuracy."""
-    rows = profiles.withColumn("label", F.col("cluster_id").cast("double")).withColumn("fold", F.row_number().over(Window.partitionBy("label").orderBy("entity", "year")) % folds).cache()
+    """A random forest from profile (vector ``features``) to cluster_id, and its card: stratified cross-validated
+    accuracy, number of samples, folds. A class's rows are dealt to the folds in turn, in the order of a hash; there are
+    as many folds as the smallest class has rows, ``folds`` at most, and below two the accuracy is NaN."""
+    rows = profiles.withColumn("label", F.col("cluster_id").cast("double")).withColumn("_h", F.xxhash64("entity", "year", F.lit(seed)))
+    rows = checkpoint(ranking.ordinal(rows, "_r", "_h", "entity", "label"))
     stages = Pipeline(stages=[RandomForestClassifier(labelCol="label", numTrees=30, seed=seed)])
-    smallest = rows.groupBy("label").count().agg(F.min("count")).first()[0] or 0
-    scored = [stages.fit(rows.where(F.col("fold") != f)).transform(rows.where(F.col("fold") == f)) for f in range(folds)] if smallest >= 2 else []
-    card = reduce(DataFrame.unionByName, scored).agg(F.avg((F.col("prediction") == F.col("label")).cast("double")).alias("cv_accuracy"), F.count("*").alias("n_samples")) if scored else rows.agg(F.lit(None).cast("double").alias("cv_accuracy"), F.count("*").alias("n_samples"))
+    folds = min(folds, rows.groupBy("label").count().agg(F.min("count")).first()[0] or 0)
+    part = F.pmod(F.col("_r"), F.lit(max(folds, 1)))
+    scored = [stages.fit(rows.where(part != f)).transform(rows.where(part == f)) for f in range(folds)] if folds >= 2 else []
+    right = reduce(DataFrame.unionByName, scored).agg(F.avg((F.col("prediction") == F.col("label")).cast("double")).alias("cv_accuracy")) if scored else rows.limit(1).select(F.lit(float("nan")).alias("cv_accuracy"))
+    card = right.crossJoin(rows.agg(F.count("*").alias("n_samples"))).withColumn("folds", F.lit(folds).cast("long"))
     return stages.fit(rows), card
 
 
 def predict_cluster(model: PipelineModel, profiles: DataFrame) -> DataFrame:
     """(entity, year, predicted) of profiles with a vector ``features``."""
     return model.transform(profiles).select("entity", "year", F.col("prediction").cast("long").alias("predicted"))
+
+
+def save_typology_model(model: PipelineModel, folder: str, metric_ids: list[int], labels: DataFrame, card: DataFrame) -> None:
+    """Write a fitted model with the order of metrics in its vectors, the names of its clusters (cluster_id, label) and
+    its card. The file with the order comes last; without it the folder is no model."""
+    model.write().overwrite().save(f"{folder}/model")
+    labels.select(F.col("cluster_id").cast("long").alias("cluster_id"), "label").write.mode("overwrite").parquet(f"{folder}/labels")
+    card.write.mode("overwrite").parquet(f"{folder}/card")
+    put_text(labels.sparkSession, f"{folder}/order", "metrics", json.dumps([int(m) for m in metric_ids]))
+
+
+def apply_typology_model(spark: SparkSession, folder: str, features: DataFrame) -> DataFrame:
+    """(entity, year, predicted, label) by a saved model, of the entity-years of ``features`` (entity, year, metric_id,
+    z_value) that have all its metrics; others have no row. Metrics that the model doesn't know are left out."""
+    if not names(spark, f"{folder}/order"):
+        raise ValueError(f"no model in {folder}")
+    ids = json.loads(get_text(spark, f"{folder}/order", "metrics"))
+    pairs = features.where(F.col("metric_id").isin(ids) & F.col("z_value").isNotNull()).groupBy("entity", "year").agg(F.map_from_entries(F.collect_list(F.struct("metric_id", "z_value"))).alias("m")).where(F.size("m") == len(ids))
+    rows = pairs.select("entity", "year", array_to_vector(F.array(*[F.col("m")[F.lit(i).cast("long")] for i in ids])).alias("features"))
+    found = predict_cluster(PipelineModel.load(f"{folder}/model"), rows)
+    return found.join(spark.read.parquet(f"{folder}/labels").withColumnRenamed("cluster_id", "predicted"), "predicted", "left").select("entity", "year", "predicted", "label")
+
+
+def typology_card(spark: SparkSession, folder: str) -> DataFrame:
+    """The card of a saved model."""
+    return spark.read.parquet(f"{folder}/card")

@@ -276,6 +276,15 @@ dd AS (SELECT a.year, a.cluster_id AS i, b.cluster_id AS j, sqrt(sum((a.mean_z -
 db AS (SELECT year, avg(m) AS davies_bouldin FROM (SELECT dd.year, i, max((x.s + y.s) / t) AS m FROM dd JOIN sp x ON x.year = dd.year AND x.cluster_id = i JOIN sp y ON y.year = dd.year AND y.cluster_id = j GROUP BY 1, 2) GROUP BY 1),
 tt AS (SELECT year, sum(t) AS t FROM (SELECT year, metric_id, var_pop(z_value) * count(*) AS t FROM feat GROUP BY 1, 2) GROUP BY 1), ww AS (SELECT year, sum(w) AS w, sum(n) AS n, count(*) AS k FROM sp GROUP BY 1)
 SELECT year, silhouette, davies_bouldin, (t - w) / (k - 1) / (w / (n - k)) AS calinski_harabasz FROM sil JOIN db USING (year) JOIN tt USING (year) JOIN ww USING (year)""")
+_add("i3_euclidean_quality", lambda s, d: typology.cluster_quality(demo.features(s, d), demo.clusters(s, d), squared=False),
+     """year:i, silhouette:d, davies_bouldin:d, calinski_harabasz:d | WITH p AS (SELECT a.year, a.entity AS e, b.entity AS f, sqrt(sum((a.z_value - b.z_value) ** 2)) AS sq FROM feat a JOIN feat b USING (year, metric_id) WHERE a.entity <> b.entity GROUP BY 1, 2, 3),
+q AS (SELECT p.year, e, x.cluster_id AS own, y.cluster_id AS c, avg(sq) AS m FROM p JOIN clusters x ON x.entity = e AND x.year = p.year JOIN clusters y ON y.entity = f AND y.year = p.year GROUP BY 1, 2, 3, 4),
+ab AS (SELECT year, e, max(m) FILTER (c = own) AS a, min(m) FILTER (c <> own) AS b FROM q GROUP BY 1, 2), sil AS (SELECT year, avg(CASE WHEN a IS NULL THEN 0 ELSE (b - a) / greatest(a, b) END) AS silhouette FROM ab GROUP BY 1),
+sp AS (SELECT year, cluster_id, avg(distance) AS s, sum(distance ** 2) AS w, count(*) AS n FROM dist GROUP BY 1, 2),
+dd AS (SELECT a.year, a.cluster_id AS i, b.cluster_id AS j, sqrt(sum((a.mean_z - b.mean_z) ** 2)) AS t FROM prof a JOIN prof b USING (year, metric_id) WHERE a.cluster_id <> b.cluster_id GROUP BY 1, 2, 3),
+db AS (SELECT year, avg(m) AS davies_bouldin FROM (SELECT dd.year, i, max((x.s + y.s) / t) AS m FROM dd JOIN sp x ON x.year = dd.year AND x.cluster_id = i JOIN sp y ON y.year = dd.year AND y.cluster_id = j GROUP BY 1, 2) GROUP BY 1),
+tt AS (SELECT year, sum(t) AS t FROM (SELECT year, metric_id, var_pop(z_value) * count(*) AS t FROM feat GROUP BY 1, 2) GROUP BY 1), ww AS (SELECT year, sum(w) AS w, sum(n) AS n, count(*) AS k FROM sp GROUP BY 1)
+SELECT year, silhouette, davies_bouldin, (t - w) / (k - 1) / (w / (n - k)) AS calinski_harabasz FROM sil JOIN db USING (year) JOIN tt USING (year) JOIN ww USING (year)""")
 _add("i4_align_labels", lambda s, d: typology.align_labels(demo.clusters(s, d), 3))
 _add("i5_label_stability", lambda s, d: typology.label_stability(demo.clusters(s, d)), "year:i, stability:d | SELECT a.year, avg((a.cluster_id = b.cluster_id)::INT) AS stability FROM clusters a LEFT JOIN clusters b ON b.entity = a.entity AND b.year = a.year - 1 GROUP BY 1")
 _add("i6_centroid_distances", lambda s, d: typology.centroid_distances(demo.features(s, d), demo.clusters(s, d)), "entity, year:i, cluster_id:i, distance:d | SELECT * FROM dist")

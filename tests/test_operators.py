@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
+from pyspark.sql import functions as F
 
 from tessella.contracts import CANONICAL, enforce, validate_fact
 from tessella.operators import index, spatial, typology
@@ -105,3 +106,102 @@ def test_the_gate_on_facts_raises(spark):
     for bad in (("a", 1, 2000), (None, 1, 2000), ("b", 1, 1800)):
         with pytest.raises(ValueError):
             validate_fact(spark.createDataFrame([*good, bad], kind))
+
+
+def by_permutations(overlap):
+    k = len(overlap)
+    return list(max(permutations(range(k)), key=lambda p: (sum(overlap[p[c], c] for c in range(k)), tuple(-x for x in p))))
+
+
+def test_assignment_is_the_best_of_all_permutations():
+    rng = np.random.default_rng(8)
+    for k in (1, 2, 3, 4, 5, 6):
+        for top in (1, 3, 50):
+            for _ in range(6):
+                overlap = rng.integers(0, top, (k, k)) if top > 1 else np.zeros((k, k), int)
+                assert typology.best_assignment(overlap) == by_permutations(overlap)
+    one = rng.permutation(50)
+    overlap = rng.integers(0, 20, (50, 50))
+    overlap[one, np.arange(50)] = 1000
+    assert typology.best_assignment(overlap) == one.tolist()
+
+
+def test_assignment_of_unequal_numbers():
+    assert typology.best_assignment(np.array([[0, 9, 0], [8, 0, 0]])) == [1, 0, 2]
+    assert typology.best_assignment(np.array([[0, 9], [8, 0], [0, 7]])) == [1, 0]
+
+
+def test_labels_beyond_k_are_an_error(spark):
+    rows = [("a", 1, 0), ("a", 2, 3)]
+    with pytest.raises(ValueError, match="label 3 is not one of 3"):
+        typology.align_labels(spark.createDataFrame(rows, "entity string, year long, cluster_id long"), 3)
+
+
+def test_euclidean_silhouette_in_blocks(spark):
+    rng = np.random.default_rng(6)
+    profiles = {(f"e{i:02d}", y): rng.normal(size=4) + 100 for i in range(40) for y in (1, 2)} | {("only", 3): [1.0], ("x", 4): [1.0], ("y", 4): [1.0]}
+    labels = {(e, y): (5 if e == "e39" else int(e[1:]) % 3) if y < 3 else 0 for e, y in profiles}
+    clusters = spark.createDataFrame([(e, y, c) for (e, y), c in labels.items()], "entity string, year long, cluster_id long")
+    found = {r.year: r.silhouette for r in typology.euclidean_silhouette(panel(spark, profiles), clusters, block=9).collect()}
+    for y in (1, 2):
+        own = [e for e, t in profiles if t == y]
+        values = []
+        for e in own:
+            mean = {}
+            for c in set(labels.values()):
+                far = [np.linalg.norm(profiles[e, y] - profiles[o, y]) for o in own if o != e and labels[o, y] == c]
+                mean[c] = np.mean(far) if far else None
+            a, b = mean.pop(labels[e, y]), min(m for m in mean.values() if m is not None)
+            values.append(0.0 if a is None else (b - a) / max(a, b))
+        assert abs(found[y] - np.mean(values)) < 1e-9
+    assert found[3] is None and found[4] is None
+
+
+def test_adjacency_with_hot_vertices(spark):
+    """A vertex of all 60,000 entities pairs none of them; another one of 300 does so in blocks."""
+    rows = [(f"e{k:05d}", "all") for k in range(60_000)] + [(f"e{k:05d}", f"v{j}") for k in range(60_000) for j in (k // 2, k // 3 + 10**6) if k < 9000]
+    rows += [(f"h{k:03d}", v) for k in range(300) for v in ("hot", "warm" if k < 200 else f"own{k}")] + [("h000", "hot"), (None, "hot"), ("h001", None)]
+    found = spatial.build_adjacency(spark.createDataFrame(rows, "entity string, vertex string"), block=64)
+    got = {(r.src, r.dst) for r in found.collect()}
+    own = {}
+    for e, v in set(rows):
+        if e and v and v not in ("all", "hot", "warm"):
+            own.setdefault(v, set()).add(e)
+    want = {(a, b) for s in own.values() for a in s for b in s if a != b}  # with the vertex of all, one more is enough
+    want |= {(f"h{a:03d}", f"h{b:03d}") for a in range(200) for b in range(200) if a != b}
+    assert got == want
+
+
+def test_twins_with_ties_and_zero_profiles(spark):
+    rng = np.random.default_rng(9)
+    profiles = {f"e{k:02d}": [float(v) for v in rng.integers(0, 2, 3)] for k in range(40)}
+    rows = spark.createDataFrame([(e, 1, p) for e, p in profiles.items()] + [("alone", 2, [1.0, 0.0, 0.0])], "entity string, year long, profile array<double>")
+    got = {}
+    for r in typology.twins(rows, 5, 7).collect():
+        got.setdefault(r.entity, []).append((r["rank"], r.twin, r.similarity))
+    unit = {e: np.array(p) / (np.linalg.norm(p) or 1) for e, p in profiles.items()}
+    for e in profiles:
+        best = sorted((-round(float(unit[e] @ unit[o]), 8), o) for o in profiles if o != e)[:5]
+        assert sorted(got[e]) == [(k + 1, o, -s + 0.0) for k, (s, o) in enumerate(best)]
+    assert "alone" not in got
+
+
+def test_saved_typology_model(spark, tmp_path):
+    rng = np.random.default_rng(7)
+    profiles = {(f"e{i:02d}", y): np.array([6.0 * (i % 2), 1.0, -6.0 * (i % 2)]) + rng.normal(size=3) for i in range(30) for y in (1, 2)}
+    features = panel(spark, profiles).withColumn("metric_id", F.col("metric_id") + 7)
+    rows = features.groupBy("entity", "year").agg(F.array_sort(F.collect_list(F.struct("metric_id", "z_value"))).alias("p"))
+    rows = rows.select("entity", "year", array_to_vector(F.transform("p", lambda x: x["z_value"])).alias("features"), F.pmod(F.substring("entity", 2, 2).cast("long"), F.lit(2)).alias("cluster_id"))
+    model, card = typology.train_typology_model(rows)
+    labels = spark.createDataFrame([(0, "low"), (1, "high")], "cluster_id int, label string")
+    folder = str(tmp_path / "model")
+    with pytest.raises(ValueError):
+        typology.apply_typology_model(spark, folder, features)
+    typology.save_typology_model(model, folder, [7, 8, 9], labels, card)
+    other = spark.newSession()
+    assert other.read.parquet(f"{folder}/card").first().asDict() == {"cv_accuracy": 1.0, "n_samples": 60, "folds": 5}
+    extra = features.unionByName(spark.createDataFrame([("e00", 1, 99, 5.0), ("part", 1, 7, 1.0)], features.schema))
+    got = {(r.entity, r.year): (r.predicted, r.label) for r in typology.apply_typology_model(other, folder, extra).collect()}
+    assert got == {(e, y): (int(e[1:]) % 2, ["low", "high"][int(e[1:]) % 2]) for e, y in profiles}
+    small = rows.where("cluster_id = 0").unionByName(rows.where("entity = 'e01' and year = 1"))
+    assert np.isnan(typology.train_typology_model(small)[1].first().cv_accuracy)
