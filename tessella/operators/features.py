@@ -21,8 +21,10 @@ def classify_value_type(unit: str, rules=VALUE_TYPES, default: str = "absolute",
 
 
 def compute_coverage(fact: DataFrame, regions: DataFrame, years: tuple[int, int]) -> DataFrame:
-    """The share of (included entity, year of the window) cells that a metric has a value for."""
+    """The share of (included entity, year of the window) cells that a metric has a value for; no such cells are an error."""
     included = regions.where("included").select("entity").distinct()
+    if years[1] < years[0] or included.isEmpty():
+        raise ValueError("no included entity and year to cover")
     cells = fact.where(F.col("value").isNotNull() & F.col("year").between(*years)).join(included, "entity", "left_semi")
     found = cells.groupBy("metric_id").agg(F.countDistinct("entity", "year").alias("cells"))
     size = included.agg((F.count("*") * (years[1] - years[0] + 1)).alias("size"))

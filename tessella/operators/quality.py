@@ -31,6 +31,17 @@ def metric_catalog(metrics: DataFrame, fact: DataFrame, least: float, excluded:
     return metrics.join(seen, "metric_id", "left").na.fill(0, ["n_years", "n_entities"]).select("metric_id", "metric_name", "domain", "is_core", "coverage", tier.alias("tier"), "first_year", "last_year", "n_years", "n_entities")
 
 
+def core_counts(metrics: DataFrame, by: str) -> DataFrame:
+    """(``by``, n): core metrics by domain or value type, most first."""
+    return metrics.where("is_core").groupBy(by).agg(F.count("*").alias("n")).orderBy(F.desc("n"), by)
+
+
+def clustering_summary(clusters: DataFrame, silhouette: DataFrame, stability: DataFrame) -> DataFrame:
+    """One row: number of clusters, years, and the means over years of silhouette and of the share of labels that stay."""
+    seen = clusters.agg(F.countDistinct("cluster_id").alias("k"), F.countDistinct("year").alias("years"))
+    return seen.crossJoin(silhouette.agg(F.avg("silhouette").alias("silhouette"))).crossJoin(stability.agg(F.avg("stability").alias("stability")))
+
+
 def data_profile(regions: DataFrame, fact: DataFrame, metrics: DataFrame, features: DataFrame, dev: DataFrame) -> DataFrame:
     """One row of counts over all tables, with the funnel of metrics by coverage."""
     funnel = [F.count_if(F.col("coverage") >= c).alias(f"coverage_{int(100 * c)}") for c in (0.95, 0.9, 0.8, 0.5)]

@@ -197,9 +197,27 @@ _add("c12_profile_matrix", lambda s, d: features.profile_matrix(demo.features(s,
 # index
 _DEV = "entity, year:i, scheme, total_score:d, " + ", ".join(f"{x}:d" for x in DOMAINS)
 _add("d1_domain_scores", demo.wide, f"entity, year:i, {', '.join(f'{x}:d' for x in DOMAINS)} | SELECT * FROM wide")
-_add("d2_pca_weights", lambda s, d: s.createDataFrame(list(index.scheme_weights(demo.wide(s, d), DOMAINS, "pca").items()), "domain string, weight double"))
+# the first component by power iteration
+_PRODUCTS = [" + ".join(f"c{i}{j} * v{j}" for j in range(4)) for i in range(4)]
+_PCA = f"""WITH RECURSIVE cv AS (SELECT {", ".join(f"covar_samp({a}, {b}) AS c{i}{j}" for i, a in enumerate(DOMAINS) for j, b in enumerate(DOMAINS))} FROM wide WHERE {" AND ".join(f"{x} IS NOT NULL" for x in DOMAINS)}),
+it AS (SELECT 0 AS step, 1.0::DOUBLE AS v0, 0.9::DOUBLE AS v1, 0.8::DOUBLE AS v2, 0.7::DOUBLE AS v3 UNION ALL SELECT step + 1, p0 / size, p1 / size, p2 / size, p3 / size FROM
+(SELECT step, p0, p1, p2, p3, sqrt(p0 * p0 + p1 * p1 + p2 * p2 + p3 * p3) AS size FROM (SELECT step, {", ".join(f"{p} AS p{i}" for i, p in enumerate(_PRODUCTS))} FROM it, cv WHERE step < 3000)))
+SELECT {", ".join(f"v{i} / (v0 + v1 + v2 + v3) AS w{i}" for i in range(4))} FROM it WHERE step = 3000"""
+_add("d2_pca_weights", lambda s, d: s.createDataFrame(list(index.scheme_weights(demo.wide(s, d), DOMAINS, "pca").items()), "domain string, weight double"),
+     f"domain, weight:d | SELECT unnest([{_NAMES}]) AS domain, unnest([w0, w1, w2, w3]) AS weight FROM ({_PCA})")
+
+
+def _dev_pca(s: SparkSession, d: str) -> DataFrame:
+    """The index by equal weights and by the first component's."""
+    wide = demo.wide(s, d)
+    return index.dev_index(wide, DOMAINS, {"equal": SCHEMES["equal"], "pca": index.scheme_weights(wide, DOMAINS, "pca")})
+
+
+_DEV_PCA = f"""(WITH w AS ({_PCA}), t AS (SELECT entity, year, {_DOM}, unnest(['equal', 'pca']) AS scheme, unnest([{_MEAN}, {" + ".join(f"{x} * w{i}" for i, x in enumerate(DOMAINS))}]) AS t FROM wide, w)
+SELECT entity, year, scheme, CASE WHEN hi = lo THEN 50 ELSE 100 * (t - lo) / (hi - lo) END AS total_score, {_DOM} FROM t JOIN (SELECT scheme, min(t) AS lo, max(t) AS hi FROM t GROUP BY 1) USING (scheme))"""
 _add("d3_to_100", lambda s, d: index.to_100(demo.wide(s, d), "economy").select("entity", "year", "economy"), "entity, year:i, economy:d | SELECT entity, year, CASE WHEN (SELECT max(economy) FROM wide) = (SELECT min(economy) FROM wide) THEN 50 ELSE 100 * (economy - (SELECT min(economy) FROM wide)) / ((SELECT max(economy) FROM wide) - (SELECT min(economy) FROM wide)) END AS economy FROM wide")
 _add("d4_dev_index", demo.dev, f"{_DEV} | SELECT * FROM dev")
+_add("d4_dev_index_pca", _dev_pca, f"{_DEV} | SELECT * FROM {_DEV_PCA}")
 _add("d5_index_ranking", lambda s, d: index.index_ranking(demo.dev(s, d), 1998, "equal"), f"{_DEV}, position:i | SELECT dev.*, rank AS position FROM dev JOIN rk USING (entity, year, scheme) WHERE year = 1998 AND scheme = 'equal'")
 _OWN = {"economy": 3.0, "income": -1.0, "demography": 1.0, "labor": 0.0}
 _CUSTOM = """SELECT entity, custom_score, rank, base_rank, base_rank - rank AS delta FROM (SELECT entity, custom_score, row_number() OVER (ORDER BY custom_score DESC, entity) AS rank, row_number() OVER (ORDER BY total_score DESC, entity) AS base_rank FROM
@@ -230,6 +248,10 @@ _AGREE = """SELECT year, scheme_a, scheme_b, round(corr(ra, rb), 4) AS spearman,
 rank() OVER (PARTITION BY a.year ORDER BY b.total_score) + (count(*) OVER (PARTITION BY a.year, b.total_score) - 1) / 2.0 AS rb FROM dev a JOIN dev b USING (entity, year) WHERE a.scheme < b.scheme) GROUP BY 1, 2, 3 HAVING count(*) >= 3"""
 _add("e3_scheme_agreement", lambda s, d: ranks.scheme_agreement(demo.dev(s, d)), f"year:i, scheme_a, scheme_b, spearman:d, n:i | {_AGREE}")
 _add("e4_scheme_sensitivity", lambda s, d: ranks.scheme_sensitivity(ranks.scheme_agreement(demo.dev(s, d))), f"scheme_a, scheme_b, mean_spearman:d, min_spearman:d | SELECT scheme_a, scheme_b, avg(spearman) AS mean_spearman, min(spearman) AS min_spearman FROM ({_AGREE}) GROUP BY 1, 2")
+_PCA_AGREE = _AGREE.replace("FROM dev a JOIN dev b", "FROM pd a JOIN pd b")
+_add("e1_rank_stability_pca", lambda s, d: ranks.rank_stability(_dev_pca(s, d).where("scheme = 'pca'"), 3).select("entity", "mean_rank", "rank_range"),
+     f"entity, mean_rank:d, rank_range:i | SELECT entity, avg(rank) AS mean_rank, max(rank) - min(rank) AS rank_range FROM (SELECT entity, row_number() OVER (PARTITION BY year ORDER BY total_score DESC, entity) AS rank FROM {_DEV_PCA} WHERE scheme = 'pca') GROUP BY 1 HAVING count(*) >= 3")
+_add("e4_pca_sensitivity", lambda s, d: ranks.scheme_sensitivity(ranks.scheme_agreement(_dev_pca(s, d))), f"scheme_a, scheme_b, mean_spearman:d, min_spearman:d | WITH pd AS {_DEV_PCA} SELECT scheme_a, scheme_b, avg(spearman) AS mean_spearman, min(spearman) AS min_spearman FROM ({_PCA_AGREE}) GROUP BY 1, 2")
 _add("f1_dispersion", lambda s, d: ranks.dispersion(demo.features(s, d), demo.metrics(s), 5),
      "metric_id:i, year:i, n:i, mean:d, median:d, std:d, p10:d, p90:d, iqr:d, range:d, cv:d, p90_p10:d | SELECT *, CASE WHEN scale AND mean > 0 THEN std / mean END AS cv, CASE WHEN scale AND p10 > 0 THEN p90 / p10 END AS p90_p10 FROM (SELECT metric_id, year, any_value(value_type) IN ('absolute', 'per_capita', 'share') AS scale, count(*) AS n, avg(value_harmonized) AS mean, median(value_harmonized) AS median, stddev_samp(value_harmonized) AS std, quantile_cont(value_harmonized, 0.1) AS p10, quantile_cont(value_harmonized, 0.9) AS p90, quantile_cont(value_harmonized, 0.75) - quantile_cont(value_harmonized, 0.25) AS iqr, max(value_harmonized) - min(value_harmonized) AS range FROM feat JOIN mdim USING (metric_id) GROUP BY 1, 2 HAVING count(*) >= 5)")
 _add("f2_index_dispersion", lambda s, d: ranks.index_dispersion(demo.dev(s, d)),
@@ -360,6 +382,12 @@ _add("k3_metric_catalog", lambda s, d: quality.metric_catalog(demo.metrics(s), d
 _add("k4_data_profile", lambda s, d: quality.data_profile(demo.regions(s, d), demo.fact(s, d), demo.metrics(s), demo.features(s, d), demo.dev(s, d)),
      "regions:i, included:i, districts:i, facts:i, first_year:i, last_year:i, sources:i, core_metrics:i, value_types:i, coverage_95:i, coverage_90:i, coverage_80:i, coverage_50:i, imputed_share:d, index_rows:i | SELECT (SELECT count(*) FROM regions) AS regions, (SELECT count(*) FROM regions WHERE included) AS included, (SELECT count(DISTINCT district) FROM regions) AS districts, (SELECT count(*) FROM fact) AS facts, (SELECT min(year) FROM fact) AS first_year, (SELECT max(year) FROM fact) AS last_year, 1 AS sources, 6 AS core_metrics, (SELECT count(DISTINCT value_type) FROM mdim) AS value_types, " + ", ".join(f"(SELECT count(*) FROM mdim WHERE coverage >= {c}) AS coverage_{int(100 * c)}" for c in (0.95, 0.9, 0.8, 0.5)) + ", (SELECT avg(is_imputed::INT) FROM feat) AS imputed_share, (SELECT count(*) FROM dev) AS index_rows")
 
+_add("k4_core_by_domain", lambda s, d: quality.core_counts(demo.metrics(s), "domain"), "domain, n:i | SELECT domain, count(*) AS n FROM mdim WHERE is_core GROUP BY 1")
+_add("k4_core_value_types", lambda s, d: quality.core_counts(demo.metrics(s), "value_type"), "value_type, n:i | SELECT value_type, count(*) AS n FROM mdim WHERE is_core GROUP BY 1")
+_QUALITY_SQL = SQL["i3_euclidean_quality"].split("|", 1)[1]
+_add("k4_clustering", lambda s, d: quality.clustering_summary(demo.clusters(s, d), typology.euclidean_silhouette(demo.features(s, d), demo.clusters(s, d)), typology.label_stability(demo.clusters(s, d))),
+     f"k:i, years:i, silhouette:d, stability:d | SELECT (SELECT count(DISTINCT cluster_id) FROM clusters) AS k, (SELECT count(DISTINCT year) FROM clusters) AS years, (SELECT avg(silhouette) FROM ({_QUALITY_SQL})) AS silhouette, (SELECT avg(stability) FROM ({SQL['i5_label_stability'].split('|', 1)[1]})) AS stability")
+
 # serving
 _add("l1_map_layer", lambda s, d: serve.serve(demo.dev(s, d), {"year": 1998, "scheme": "equal"}).select("entity", "total_score"), "entity, total_score:d | SELECT * FROM dev WHERE year = 1998 AND scheme = 'equal'")
 _add("l2_included_entities", lambda s, d: serve.serve(demo.regions(s, d).where("included"), order=["region_name"]), "entity, region_name, district, included | SELECT * FROM regions WHERE included")
@@ -404,3 +432,20 @@ _add("l11_catalog_list", lambda s, d: serve.catalog_list(quality.metric_catalog(
 _add("l12_type_profile", lambda s, d: serve.serve(typology.cluster_profile(demo.features(s, d), demo.clusters(s, d)), {"year": 1998, "cluster_id": 1}, [(demo.metrics(s), "metric_id", ["metric_name"])], [F.abs("mean_z").desc()]), "year:i, cluster_id:i, metric_id:i, mean_z:d, metric_name | SELECT * FROM prof JOIN mdim USING (metric_id) WHERE year = 1998 AND cluster_id = 1")
 _add("l13_freshness", lambda s, d: serve.freshness(demo.fact(s, d), demo.regions(s, d), demo.dev(s, d)), "last_year:i, included:i, index_year:i | SELECT (SELECT max(year) FROM fact) AS last_year, (SELECT count(*) FROM regions WHERE included) AS included, (SELECT max(year) FROM dev) AS index_year")
 _add("l14_agreement_list", lambda s, d: serve.serve(ranks.scheme_agreement(demo.dev(s, d)), {"year": (1996, 1999)}, order=["year"]), f"year:i, scheme_a, scheme_b, spearman:d, n:i | SELECT * FROM ({_AGREE}) WHERE year BETWEEN 1996 AND 1999")
+
+_list("l10_decomposition_list", "d11_decompose_index", {"entity": "04", "year": (1997, 1999)}, "entity = '04' AND year BETWEEN 1997 AND 1999", "entity", "region_name")
+_list("l10_local_moran_list", "h4_moran_local", {"scheme": "equal", "year": 1998}, "scheme = 'equal' AND year = 1998", "entity", "region_name")
+
+
+def _plain(name: str, of: str, filters: dict, where: str, order: list[str]) -> None:
+    """The rows of another query that the filters leave, in order."""
+    columns, body = SQL[of].split("|", 1)
+    QUERIES[name] = lambda s, d: serve.serve(QUERIES[of](s, d), filters, order=order)
+    SQL[name] = f"{columns} | SELECT * FROM ({body}) WHERE {where}"
+
+
+_plain("l14_dispersion_list", "f2_index_dispersion", {"scheme": "equal"}, "scheme = 'equal'", ["year"])
+_plain("l14_beta_list", "f3_beta_convergence", {}, "true", ["scheme"])
+_plain("l14_moran_list", "h2_moran_global", {"scheme": "expert", "year": 1998}, "scheme = 'expert' AND year = 1998", ["year"])
+_add("l3_metrics_by_coverage", lambda s, d: serve.search(demo.metrics(s).withColumn("coverage", F.when(F.col("metric_id") != 2, F.col("coverage"))).select("metric_id", "metric_name", "coverage"), "metric_name", "E", [F.col("coverage").desc_nulls_last(), "metric_id"], 5),
+     "metric_id:i, metric_name, coverage:d | SELECT metric_id, metric_name, nullif(coverage, 0.9) AS coverage FROM mdim WHERE lower(metric_name) LIKE '%e%' ORDER BY coverage DESC NULLS LAST, metric_id LIMIT 5")
