@@ -149,3 +149,13 @@ def region_dashboard(dev: DataFrame, domains: list[str], year: int, scheme: str)
     each = [F.struct(F.lit(d).alias("domain"), F.col(d).alias("score"), F.col(f"old_{d}").alias("previous")) for d in domains]
     both = now.join(old, "entity", "left").withColumn("x", F.explode(F.array(*each)))
     return both.select("entity", "x.domain", "x.score", "x.previous", (F.col("x.score") - F.col("x.previous")).alias("delta"), "rank", "of", (F.col("total_score") - F.col("old_total")).alias("total_delta"))
+
+
+def dashboard_types(clusters: DataFrame, attribution: DataFrame, year: int, top: int = 8) -> DataFrame:
+    """(entity, cluster_id, place, metric_id, value): an entity's cluster in a year and the metrics that speak most for or
+    against it. An entity without attribution has one row, with nulls."""
+    size = -F.round(F.abs("value"), 8)
+    best = attribution.where(F.col("year") == year).groupBy("entity").agg(F.slice(F.sort_array(F.collect_list(F.struct(size.alias("s"), "metric_id", "value"))), 1, top).alias("best"))
+    rows = clusters.where(F.col("year") == year).select("entity", "cluster_id").join(best, "entity", "left")
+    rows = rows.select("entity", "cluster_id", F.posexplode_outer("best").alias("place", "x"))
+    return rows.select("entity", "cluster_id", (F.col("place") + 1).alias("place"), "x.metric_id", "x.value")

@@ -138,8 +138,8 @@ _add("b8_region_dim", lambda s, d: etl.build_region_dim(demo.canonical(s, d), de
      "entity, region_name, oktmo, variant, district, is_variant, included | SELECT rdim.*, 'D' || n_regionkey::VARCHAR AS district, variant <> 'none' AS is_variant, variant IN ('none', 'without') AS included FROM rdim LEFT JOIN nation ON lpad(n_nationkey::VARCHAR, 11, '0') = entity AND n_nationkey < 20")
 _LATEST = ["object_okato", "metric_id", "year"]
 _add("b9_build_fact", lambda s, d: etl.build_fact(etl.dedup_latest(_with_ids(s, d), _LATEST)), "entity, metric_id:i, year:i, value:d, source | SELECT object_okato AS entity, metric_id, year, indicator_value AS value, source FROM latest l JOIN mdim0 m ON l.indicator_code = m.indicator_code AND l.subsection IS NOT DISTINCT FROM m.subsection")
-_add("b10_fact_faults", lambda s, d: contracts.fact_faults(etl.build_fact(_with_ids(s, d)), 1996, 2025),
-     "rows:i, null_keys:i, bad_years:i, duplicate_keys:i | SELECT (SELECT count(*) FROM canon) AS rows, 0 AS null_keys, (SELECT count(*) FROM canon WHERE year < 1996) AS bad_years, (SELECT count(*) FROM (SELECT 1 FROM canon GROUP BY object_okato, indicator_code, subsection, year HAVING count(*) > 1)) AS duplicate_keys")
+_add("b10_fact_faults", lambda s, d: contracts.fact_faults(etl.build_fact(_with_ids(s, d).withColumn("object_okato", F.when(F.col("object_level") != "other", F.col("object_okato")))), 1996, 2025),
+     "rows:i, null_keys:i, bad_years:i, duplicate_keys:i | SELECT (SELECT count(*) FROM canon) AS rows, (SELECT count(*) FROM canon WHERE object_level = 'other') AS null_keys, (SELECT count(*) FROM canon WHERE year < 1996) AS bad_years, (SELECT count(*) FROM (SELECT 1 FROM canon GROUP BY CASE WHEN object_level <> 'other' THEN object_okato END, indicator_code, subsection, year HAVING count(*) > 1)) AS duplicate_keys")
 _add("b11_quality_report", lambda s, d: etl.quality_report(demo.fact(s, d), demo.regions(s, d)),
      "rows:i, metrics:i, entities:i, first_year:i, last_year:i, included:i | SELECT count(*) AS rows, count(DISTINCT metric_id) AS metrics, count(DISTINCT entity) AS entities, min(year) AS first_year, max(year) AS last_year, (SELECT count(*) FROM regions WHERE included) AS included FROM fact")
 _add("b12_run_etl", lambda s, d: etl.run_etl(demo.canonical(s, d), demo.districts(s, d), "region", "with parts", "without", "with parts")["fact"],
@@ -158,7 +158,7 @@ def _overrides(s: SparkSession, d: str) -> DataFrame:
 _CROSS = """SELECT 'The Republic of ' || array_to_string(list_transform(string_split(n_name, ' '), lambda w: upper(w[1]) || lower(w[2:])), ' ') || ' (map)' AS name, CASE WHEN n_nationkey % 5 = 0 THEN lpad(n_nationkey::VARCHAR, 2, '0') END AS code,
 CASE WHEN n_nationkey = 3 THEN '04' ELSE lpad(n_nationkey::VARCHAR, 2, '0') END AS entity, CASE WHEN n_nationkey % 5 = 0 THEN 'code' WHEN n_nationkey = 3 THEN 'override' ELSE 'name' END AS how FROM nation WHERE n_nationkey <> 7"""
 _add("b13_crosswalk_names", lambda s, d: etl.crosswalk_names(_map_features(s, d), demo.regions(s, d), _overrides(s, d)), f"name, code, entity, how | {_CROSS}")
-_add("b13_uncovered", lambda s, d: etl.uncovered(demo.regions(s, d), etl.crosswalk_names(_map_features(s, d), demo.regions(s, d), _overrides(s, d))), "entity, region_name | SELECT entity, region_name FROM regions WHERE entity IN ('03', '07')")
+_add("b13_uncovered", lambda s, d: etl.uncovered(demo.regions(s, d), etl.crosswalk_names(_map_features(s, d), demo.regions(s, d), _overrides(s, d))), f"entity, region_name | SELECT entity, region_name FROM regions WHERE entity NOT IN (SELECT entity FROM ({_CROSS}))")
 
 # features
 _add("c1_value_type", lambda s, d: demo.canonical(s, d).select("indicator_unit", features.classify_value_type("indicator_unit").alias("value_type")).distinct(),
@@ -257,7 +257,7 @@ _add("f1_dispersion", lambda s, d: ranks.dispersion(demo.features(s, d), demo.me
 _add("f2_index_dispersion", lambda s, d: ranks.index_dispersion(demo.dev(s, d)),
      "year:i, scheme, n:i, mean:d, std:d, p10:d, p90:d, cv:d, p90_p10:d, gini:d | SELECT year, scheme, count(*) AS n, avg(x) AS mean, stddev_pop(x) AS std, quantile_cont(x, 0.1) AS p10, quantile_cont(x, 0.9) AS p90, CASE WHEN avg(x) > 0 THEN stddev_pop(x) / avg(x) END AS cv, CASE WHEN quantile_cont(x, 0.1) > 0 THEN quantile_cont(x, 0.9) / quantile_cont(x, 0.1) END AS p90_p10, CASE WHEN sum(x) > 0 THEN (2 * sum(i * x) - (count(*) + 1) * sum(x)) / (count(*) * sum(x)) END AS gini FROM (SELECT year, scheme, total_score AS x, row_number() OVER (PARTITION BY year, scheme ORDER BY total_score, entity) AS i FROM dev) GROUP BY 1, 2 HAVING count(*) >= 5")
 _add("f3_beta_convergence", lambda s, d: ranks.beta_convergence(demo.dev(s, d)),
-     "scheme, first_year:i, last_year:i, n:i, beta:d, intercept:d, r:d, r2:d | SELECT scheme, 1995 AS first_year, 2001 AS last_year, count(*) AS n, regr_slope(y, x) AS beta, regr_intercept(y, x) AS intercept, corr(x, y) AS r, corr(x, y) ** 2 AS r2 FROM (SELECT a.scheme, a.total_score AS x, b.total_score - a.total_score AS y FROM dev a JOIN dev b USING (entity, scheme) WHERE a.year = 1995 AND b.year = 2001) GROUP BY 1")
+     "scheme, first_year:i, last_year:i, n:i, beta:d, intercept:d, r:d, r2:d | SELECT scheme, any_value(first_year) AS first_year, any_value(last_year) AS last_year, count(*) AS n, regr_slope(y, x) AS beta, regr_intercept(y, x) AS intercept, corr(x, y) AS r, corr(x, y) ** 2 AS r2 FROM (SELECT a.scheme, first_year, last_year, a.total_score AS x, b.total_score - a.total_score AS y FROM dev a JOIN dev b USING (entity, scheme) JOIN (SELECT scheme, min(year) AS first_year, max(year) AS last_year FROM dev GROUP BY 1) USING (scheme) WHERE a.year = first_year AND b.year = last_year) GROUP BY 1")
 _add("g1_metric_correlations", lambda s, d: ranks.metric_correlations(demo.features(s, d), "spearman", 5), "year:i, metric_a:i, metric_b:i, r:d, n:i | SELECT * FROM cor")
 _add("g2_top_correlations", lambda s, d: ranks.top_correlations(ranks.metric_correlations(demo.features(s, d), "spearman", 5), demo.metrics(s), None, 3, 3),
      "year:i, metric_a:i, metric_b:i, r:d, n:i, name_a, name_b | SELECT cor.*, a.metric_name AS name_a, b.metric_name AS name_b FROM cor JOIN mdim a ON a.metric_id = metric_a JOIN mdim b ON b.metric_id = metric_b WHERE year = (SELECT max(year) FROM cor) AND 3 IN (metric_a, metric_b) ORDER BY round(abs(r), 8) DESC, metric_a, metric_b LIMIT 3")
@@ -318,6 +318,8 @@ _add("i9_membership_attribution", lambda s, d: typology.membership_attribution(d
 n AS (SELECT entity, year, own, arg_min(c, (sq, c)) AS near FROM o GROUP BY 1, 2, 3),
 t AS (SELECT f.entity AS e, f.year, f.metric_id, q.own, q.near, (z_value - b.mean_z) ** 2 - (z_value - a.mean_z) ** 2 AS v FROM (SELECT DISTINCT year, own, near FROM n) q JOIN feat f USING (year) JOIN prof a ON a.year = q.year AND a.cluster_id = own AND a.metric_id = f.metric_id JOIN prof b ON b.year = q.year AND b.cluster_id = near AND b.metric_id = f.metric_id)
 SELECT n.entity, n.year, t.metric_id, t.v - m.v AS value FROM n JOIN t ON t.e = n.entity AND t.year = n.year AND t.own = n.own AND t.near = n.near JOIN (SELECT year, metric_id, own, near, avg(v) AS v FROM t GROUP BY 1, 2, 3, 4) m ON m.year = t.year AND m.metric_id = t.metric_id AND m.own = t.own AND m.near = t.near""")
+_add("d12_dashboard_types", lambda s, d: index.dashboard_types(demo.clusters(s, d), typology.membership_attribution(demo.features(s, d), demo.clusters(s, d)), 1999, 3),
+     f"entity, cluster_id:i, place:i, metric_id:i, value:d | SELECT entity, cluster_id, place, metric_id, value FROM (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY round(abs(value), 8) DESC, metric_id) AS place FROM ({SQL['i9_membership_attribution'].split('|', 1)[1]}) WHERE year = 1999) JOIN (SELECT entity, cluster_id FROM clusters WHERE year = 1999) USING (entity) WHERE place <= 3")
 _add("i10_cluster_rank", lambda s, d: typology.cluster_rank(demo.dev(s, d), demo.clusters(s, d), "equal"), "cluster_id:i, mean_score:d, rank:i | SELECT * FROM crank")
 _TRANS = "entity, year_from:i, year_to:i, from_cluster:i, to_cluster:i, from_rank:i, to_rank:i, rank_delta:i"
 

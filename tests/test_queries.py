@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import math
+import os
 
 import duckdb
 import pytest
 
 from tessella.plans import queries as panel
 
-SF = "/root/testdata/sf0.001"
+SF = os.environ.get("PANEL_SF_DIR", "/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
