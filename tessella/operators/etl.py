@@ -92,7 +92,7 @@ def run_etl(raw: DataFrame, districts: DataFrame, level: str, aggregate: str, wi
 def normal_name(name: str) -> Column:
     """A name for matching: lower case, no parentheses, punctuation, or type words."""
     plain = F.regexp_replace(F.regexp_replace(F.lower(F.translate(F.col(name), "Ёё", "Ее")), r"\([^)]*\)", " "), r"[^\p{L}\p{N}]+", " ")
-    return F.array_join(F.array_except(F.split(F.trim(plain), " "), F.array(*[F.lit(w) for w in ("region", "republic", "city", "of", "the")])), " ")
+    return F.array_join(F.filter(F.split(F.trim(plain), " "), lambda w: ~w.isin("region", "republic", "city", "of", "the")), " ")
 
 
 def crosswalk_names(features: DataFrame, dim: DataFrame, overrides: DataFrame) -> DataFrame:

@@ -90,17 +90,30 @@ def _published(s: SparkSession, d: str) -> DataFrame:
 
 
 _add("a4_stored_table", _stored, "entity, metric_id:i, year:i, value:d, source, n_tables:i | SELECT *, 2 AS n_tables FROM fact")
-_add("a6_check_incoming", lambda s, d: tables.check_incoming(s, f"{d}/orders.parquet"), f"ok, missing, rows:i | SELECT false AS ok, '{','.join(contracts.CANONICAL)}' AS missing, count(*) AS rows FROM orders")
+def _checked(s: SparkSession, d: str) -> DataFrame:
+    """A raw file, a file of another kind, and a folder without a file."""
+    folder = _folder(s)
+    demo.canonical(s, d).write.parquet(f"{folder}/good")
+    paths = {"good": f"{folder}/good", "other": f"{d}/orders.parquet", "none": f"{folder}/none"}
+    return reduce(DataFrame.unionByName, [tables.check_incoming(s, path).withColumn("file", F.lit(name)) for name, path in paths.items()])
+
+
+_MISSING = ",".join(contracts.CANONICAL)
+_add("a6_check_incoming", _checked, f"file, ok, missing, rows:i | SELECT 'good' AS file, true AS ok, '' AS missing, count(*) AS rows FROM canon UNION ALL SELECT 'other', false, '{_MISSING}', count(*) FROM orders UNION ALL SELECT 'none', false, '{_MISSING}', 0")
 _add("a7_stream_intake", _taken_in, "year:i, n:i, total:d | SELECT year, count(*) AS n, sum(indicator_value) AS total FROM latest GROUP BY 1")
 _add("a8_publish_snapshot", _published, "year:i, n:i, version, accepted:i | SELECT year, count(*) AS n, 'v1' AS version, 2 AS accepted FROM fact GROUP BY 1")
 
 
-def _geojson(s: SparkSession, d: str) -> DataFrame:
-    shape = '{"features": [{"properties": {"entity": "%02d"}, "geometry": {"type": "MultiPolygon", "coordinates": [[[[%d.5, 0.25], [%d.5, 0.25], [%d.5, 1.0000004]]], [[[-%d, 7e1]]]]}}]}'
-    return demo.table(s, d, "nation").select(F.format_string(shape, *[F.col("n_nationkey") + k for k in (0, 0, 1, 1, 0)]).alias("value"))
+def _vertices(s: SparkSession, d: str) -> DataFrame:
+    """Vertices of a map file with a feature for each nation, as written and read back."""
+    shape = '{"properties": {"entity": "%02d"}, "geometry": {"type": "MultiPolygon", "coordinates": [[[[%d.5, 0.25], [%d.5, 0.25], [%d.5, 1.0000004]]], [[[-%d, 7e1]]]]}}'
+    each = demo.table(s, d, "nation").select(F.format_string(shape, *[F.col("n_nationkey") + k for k in (0, 0, 1, 1, 0)]).alias("f"))
+    path = f"{_folder(s)}/map"
+    each.agg(F.concat(F.lit('{"features": ['), F.array_join(F.collect_list("f"), ", "), F.lit("]}"))).write.text(path)
+    return tables.read_geojson_vertices(s, path)
 
 
-_add("a5_geojson_vertices", lambda s, d: tables.parse_vertices(_geojson(s, d)),
+_add("a5_geojson_vertices", _vertices,
      "entity, x:d, y:d | SELECT lpad(n_nationkey::VARCHAR, 2, '0') AS entity, unnest([n_nationkey + 0.5, n_nationkey + 1.5, n_nationkey + 1.5, -n_nationkey]) AS x, unnest([0.25, 0.25, 1.0, 70.0]) AS y FROM nation")
 _SNAPSHOTS = {"same": "true", "old": "year < 1998", "few": "entity < '05'", "none": "false"}
 

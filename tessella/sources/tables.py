@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from functools import reduce
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -35,8 +37,14 @@ def read_sources(frames: list[DataFrame]) -> DataFrame:
 
 
 def check_incoming(spark: SparkSession, path: str) -> DataFrame:
-    """One row: whether the file has all canonical columns, those it lacks, and its rows."""
-    df = spark.read.parquet(path)
+    """One row: whether the file can be read and has all canonical columns, those it lacks, and its rows.
+
+    A file that is missing or no Parquet is not ok, lacks all columns and has no rows.
+    """
+    try:
+        df = spark.read.parquet(path)
+    except (PySparkException, Py4JJavaError):
+        df = spark.createDataFrame([], "unread int")
     missing = [c for c in CANONICAL if c not in df.columns]
     return df.agg(F.count("*").alias("rows")).select(F.lit(not missing).alias("ok"), F.lit(",".join(missing)).alias("missing"), "rows")
 

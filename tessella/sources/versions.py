@@ -13,6 +13,7 @@ import uuid
 from dataclasses import dataclass
 from typing import Any
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -84,7 +85,7 @@ def _last_year(spark: SparkSession, path: str) -> int | None:
     """The last year of a table; None where it has none or can't be read."""
     try:
         return spark.read.parquet(path).agg(F.max("year")).first()[0]
-    except PySparkException:
+    except (PySparkException, Py4JJavaError):
         return None
 
 

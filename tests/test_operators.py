@@ -11,7 +11,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
 from tessella.contracts import CANONICAL, enforce, validate_fact
-from tessella.operators import index, spatial, typology
+from tessella.operators import etl, index, spatial, typology
 from tessella.sources import tables
 
 
@@ -205,3 +205,15 @@ def test_saved_typology_model(spark, tmp_path):
     assert got == {(e, y): (int(e[1:]) % 2, ["low", "high"][int(e[1:]) % 2]) for e, y in profiles}
     small = rows.where("cluster_id = 0").unionByName(rows.where("entity = 'e01' and year = 1"))
     assert np.isnan(typology.train_typology_model(small)[1].first().cv_accuracy)
+
+
+def test_incoming_files_that_are_none(spark, tmp_path):
+    (tmp_path / "text.parquet").write_text("no parquet")
+    for path in ("text.parquet", "nowhere"):
+        row = tables.check_incoming(spark, str(tmp_path / path)).first()
+        assert (row.ok, row.missing, row.rows) == (False, ",".join(CANONICAL), 0)
+
+
+def test_names_keep_repeated_words(spark):
+    rows = spark.createDataFrame([("The Republic of Baden Baden (map)",), ("baden-baden",), (None,)], "n string")
+    assert [r[0] for r in rows.select(etl.normal_name("n")).collect()] == ["baden baden", "baden baden", None]
