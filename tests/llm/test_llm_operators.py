@@ -419,6 +419,39 @@ def test_mixture_beats_its_predictors(spark):
         assert mixer.mixed(codes, lanes, np.minimum(4096, len(codes) - lanes), alone, 0, 0)[0].sum() < whole
 
 
+def test_crossing_keys_by_a_plain_loop():
+    """Keys of the words before, whether a text comes whole or in parts, among empty texts and words of one letter."""
+    rng = np.random.default_rng(3)
+    texts = [" ".join("".join(rng.choice(list("abC\u00e9"), int(rng.integers(1, 5)))) for _ in range(int(n))) for n in (0, 1, 2, 40, 0, 700, 3)]
+    data = np.frombuffer("".join(texts).encode(), np.uint8)
+    offsets = np.append(0, np.cumsum([len(t.encode()) for t in texts]))
+    split = lambda t: [re.sub("[A-Z]", lambda m: m[0].lower(), w).encode() for w in t.split()] + [b""]
+    history = [(*([None, None] + split(t))[k : k + 2][::-1],) for t in texts for k in range(len(split(t)))]
+    contexts = [[a for a, _ in history], [(a and a[-2:], b and b[-2:]) for a, b in history]]
+    for run in (1 << 20, 100):
+        keys, carried = [], None
+        for group in lm_score._groups(offsets, data, run):
+            last = np.array([b == offsets[k + 1] for k, _, b in group])
+            found = lm_score._tokens(data, np.array([group[0][1], *(b for _, _, b in group)]), last)
+            got, after = lm_score._before(data, *found, carried)
+            carried = None if last[-1] else after
+            keys.append(got)
+        keys = np.concatenate(keys, axis=1)
+        for want, got in zip(contexts, keys.tolist(), strict=True):
+            assert len(got) == len(want) and len(set(zip(want, got, strict=True))) == len(set(want)) == len(set(got)), run
+
+
+def test_lm_score_beats_its_base(spark):
+    """Held-out texts in sum, and nine of ten documents whose words are all known, are likelier than by the unigram base."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    held = langid.held_out("doc_id", 7)
+    got = lm_score.score(docs, ~held).join(docs.select("doc_id", held.alias("held")), "doc_id").toPandas()
+    new, known = got[got.held], got[got.n_known == got.n_tokens]
+    assert new.score.sum() > new.base_score.sum()
+    for part in (known[known.held], known[~known.held]):
+        assert (part.score > part.base_score).mean() >= 0.9
+
+
 def test_matches(spark):
     """A held-out copy follows its training copy; a training text alone never follows itself; partitions and parts don't matter."""
     rng = np.random.default_rng(8)
