@@ -344,31 +344,94 @@ def run_transitions(dev: DataFrame, clusters: DataFrame, scheme: str, leap: int
     return build_transitions(clusters, ranks).join(kinds, "entity", "left")
 
 
-def twins(profiles: DataFrame, top: int = 5, block: int = 512) -> DataFrame:
+def _unit(col: pd.Series) -> np.ndarray:
+    """Profiles at length 1; a zero profile stays zero."""
+    x = np.array(col.tolist(), dtype=np.float64)
+    norm = np.linalg.norm(x, axis=1, keepdims=True)
+    return x / np.where(norm == 0, 1, norm)
+
+
+def _cosines(a: pd.DataFrame, b: pd.DataFrame) -> np.ndarray:
+    """Similarities at 8 decimals of the entities of ``a`` and ``b``; of an entity with itself -inf."""
+    sim = np.round(_unit(a["profile"]) @ _unit(b["profile"]).T, 8) + 0.0
+    sim[a["entity"].to_numpy()[:, None] == b["entity"].to_numpy()[None, :]] = -np.inf
+    return sim
+
+
+def twin_blocks(profiles: DataFrame, top: int = 5, block: int = 512, pivots: int = 1024) -> tuple[DataFrame, DataFrame]:
+    """Profiles with their block, and the ordered pairs of blocks (year, i, j, met) with whether they have to meet.
+
+    A year's entities go to the nearest of some of its profiles, chosen by hash, four for ``block`` entities and at most
+    ``pivots``, and these cells are cut into blocks of at most about ``block``; zero profiles have cells of their own. A block knows its centre, its widest angle from it,
+    and the least of its entities' ``top``-th similarities within the block. No similarity between two blocks exceeds the
+    cosine of the angle of their centres less both widest angles, so block i needn't meet j if that is below i's least.
+    """
+    number = F.row_number().over(Window.partitionBy("year").orderBy(F.xxhash64("entity"), "entity"))
+    first = profiles.withColumn("number", number).where(F.col("number") <= pivots)
+    sizes = profiles.groupBy("year").agg(F.when(F.count("*") <= block, 1).otherwise(F.ceil(F.count("*") * 4 / block)).alias("most"))
+    chosen = first.join(sizes, "year").where(F.col("number") <= F.col("most")).select("year", "profile").toPandas()
+    near = {year: _unit(rows["profile"]) for year, rows in chosen.groupby("year")}  # at most ``pivots`` profiles a year
+
+    def assign(batches):
+        for rows in batches:
+            cell = np.zeros(len(rows), dtype=np.int64)
+            for year, at in rows.groupby("year").indices.items():
+                x = _unit(rows["profile"].iloc[at])
+                cell[at] = np.where(x.any(axis=1), (x @ near[year].T).argmax(axis=1) + 1, 0)
+            yield rows.assign(cell=cell)
+
+    cells = profiles.select("entity", F.col("year").cast("long").alias("year"), "profile").mapInPandas(assign, "entity string, year long, profile array<double>, cell long")
+    cells = checkpoint(cells)
+    parts = cells.groupBy("year", "cell").agg(F.ceil(F.count("*") / block).alias("parts"))
+    rows = cells.join(parts, ["year", "cell"]).select("year", "entity", "profile", (F.col("cell") * (1 << 32) + F.pmod(F.xxhash64("entity"), F.col("parts"))).alias("own"))
+
+    def measure(key: tuple, a: pd.DataFrame) -> pd.DataFrame:
+        x = _unit(a["profile"])
+        centre = x.mean(axis=0)
+        centre /= np.linalg.norm(centre) or 1.0
+        widest = float(np.arccos(np.clip(x @ centre, -1, 1)).max())
+        least = float(np.partition(_cosines(a, a), len(a) - top, axis=1)[:, len(a) - top].min()) if len(a) > top else -np.inf
+        return pd.DataFrame({"year": [key[0]], "own": [key[1]], "centre": [centre.tolist()], "widest": [widest], "least": [least]})
+
+    known = checkpoint(rows.groupBy("year", "own").applyInPandas(measure, "year long, own long, centre array<double>, widest double, least double"))
+    a, b = known.alias("a"), known.alias("b")
+    cosine = F.expr("aggregate(zip_with(a.centre, b.centre, (x, y) -> x * y), 0D, (s, x) -> s + x)")
+    angle = F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), cosine))) - F.col("a.widest") - F.col("b.widest")
+    zero = (F.col("a.own") < 1 << 32) | (F.col("b.own") < 1 << 32)
+    most = F.when(zero, 0.0).when(angle <= 0, 1.0).otherwise(F.cos(angle))
+    # the margin covers the rounding of similarities and of angles
+    met = (F.col("a.own") == F.col("b.own")) | (most + 1e-6 >= F.col("a.least"))
+    return rows, a.join(b, F.col("a.year") == F.col("b.year")).select("a.year", F.col("a.own").alias("i"), F.col("b.own").alias("j"), met.alias("met"))
+
+
+def twin_block_report(profiles: DataFrame, top: int = 5, block: int = 512, pivots: int = 1024) -> DataFrame:
+    """(year, pairs, met): the ordered pairs of blocks of a year, and those that have to meet."""
+    pairs = twin_blocks(profiles, top, block, pivots)[1]
+    return pairs.groupBy("year").agg(F.count("*").alias("pairs"), F.count_if("met").alias("met"))
+
+
+def twins(profiles: DataFrame, top: int = 5, block: int = 512, pivots: int = 1024) -> DataFrame:
     """(entity, year, rank, twin, similarity): the most similar profiles (entity, year, profile) of the same year.
 
-    Cosine at 8 decimals, ties by entity; a zero profile has similarity 0. Blocks of entities meet as matrices and hand on
-    their ``top`` best, so neither a pair table nor a whole year is ever in one task.
+    Cosine at 8 decimals, ties by entity; a zero profile has similarity 0. Blocks of like entities meet as matrices, unless
+    bounds show that they can't bring a twin (``twin_blocks``), and hand on their ``top`` best, so neither a pair table nor
+    a whole year is ever in one task.
     """
-    sizes = profiles.groupBy("year").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    rows = profiles.join(sizes, "year").withColumn("own", F.pmod(F.xxhash64("entity"), F.col("blocks")).cast("int"))
-    dealt = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    left = dealt.select("year", F.col("own").alias("i"), F.col("other").alias("j"), "entity", "profile").groupBy("year", "i", "j")
+    rows, pairs = twin_blocks(profiles, top, block, pivots)
+    # a task's call takes a block and up to 16 of those that it has to meet
+    turn = F.row_number().over(Window.partitionBy("year", "i").orderBy("j"))
+    pairs = checkpoint(pairs.where("met").select("year", "i", "j", F.floor((turn - 1) / 16).alias("part")))
+    left = rows.withColumnRenamed("own", "i").join(pairs.select("year", "i", "part").distinct(), ["year", "i"]).groupBy("year", "i", "part")
     fresh = [F.col(c).alias(c) for c in ("year", "entity", "profile")]  # the sides of a cogroup may share no attribute
-    right = dealt.select(F.col("other").alias("i"), F.col("own").alias("j"), *fresh).groupBy("year", "i", "j")
-
-    def unit(col: pd.Series) -> np.ndarray:
-        x = np.array(col.tolist(), dtype=np.float64)
-        norm = np.linalg.norm(x, axis=1, keepdims=True)
-        return x / np.where(norm == 0, 1, norm)
+    meets = pairs.select(*[F.col(c).alias(c) for c in ("year", "i", "j", "part")])
+    right = rows.select(*fresh, F.col("own").alias("j")).join(meets, ["year", "j"]).groupBy("year", "i", "part")
 
     def run(key: tuple, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if a.empty or b.empty:  # a block without partners gives nothing
             return pd.DataFrame({"entity": [], "year": [], "twin": [], "similarity": []})
         b = b.sort_values("entity")
         names, own = b["entity"].to_numpy(), a["entity"].to_numpy()
-        sim = np.round(unit(a["profile"]) @ unit(b["profile"]).T, 8) + 0.0
-        sim[own[:, None] == names[None, :]] = -np.inf
+        sim = _cosines(a, b)
         # all that reach a row's top-th value, then its first ``top`` of them, equal ones by name
         least = -np.partition(-sim, min(top, sim.shape[1]) - 1, axis=1)[:, min(top, sim.shape[1]) - 1]
         row, col = np.nonzero((sim >= least[:, None]) & (sim > -np.inf))

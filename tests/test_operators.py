@@ -172,6 +172,27 @@ def test_adjacency_with_hot_vertices(spark):
     assert got == want
 
 
+def test_twins_pruned_by_bounds(spark):
+    """Groups of like profiles: most block pairs are left out and the twins are those of a plain loop; so with opposite, equal and zero ones."""
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(12, 6))
+    x = np.round(np.repeat(centres, 40, axis=0) + rng.normal(size=(480, 6)) * 0.03, 6)
+    x[7], x[300], x[301] = 0, -x[0], x[302]
+    rows = [(f"e{k:03d}", 2000 + k % 2, v.tolist()) for k, v in enumerate(x)]
+    data = spark.createDataFrame(rows, "entity string, year int, profile array<double>")
+    got: dict = {}
+    for r in typology.twins(data, 3, 16).orderBy("entity", "rank").collect():
+        got.setdefault((r.entity, r.year), []).append((r.twin, r.similarity))
+    norm = np.linalg.norm(x, axis=1, keepdims=True)
+    unit = x / np.where(norm == 0, 1, norm)
+    sim = np.round(unit @ unit.T, 8) + 0.0
+    for k, (name, year, _) in enumerate(rows):
+        want = sorted((-sim[k, j], rows[j][0]) for j in range(len(rows)) if j != k and rows[j][1] == year)[:3]
+        assert [(t, pytest.approx(s, abs=1e-8)) for t, s in got[name, year]] == [(t, -s) for s, t in want]
+    report = typology.twin_block_report(data, 3, 16).collect()
+    assert len(report) == 2 and all(r.met < 0.6 * r.pairs for r in report), report
+
+
 def test_twins_with_ties_and_zero_profiles(spark):
     rng = np.random.default_rng(9)
     profiles = {f"e{k:02d}": [float(v) for v in rng.integers(0, 2, 3)] for k in range(40)}
