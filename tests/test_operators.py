@@ -181,7 +181,7 @@ def test_twins_pruned_by_bounds(spark):
     rows = [(f"e{k:03d}", 2000 + k % 2, v.tolist()) for k, v in enumerate(x)]
     data = spark.createDataFrame(rows, "entity string, year int, profile array<double>")
     got: dict = {}
-    for r in typology.twins(data, 3, 16).orderBy("entity", "rank").collect():
+    for r in typology.twins(data, 3, 64).orderBy("entity", "rank").collect():
         got.setdefault((r.entity, r.year), []).append((r.twin, r.similarity))
     norm = np.linalg.norm(x, axis=1, keepdims=True)
     unit = x / np.where(norm == 0, 1, norm)
@@ -189,7 +189,7 @@ def test_twins_pruned_by_bounds(spark):
     for k, (name, year, _) in enumerate(rows):
         want = sorted((-sim[k, j], rows[j][0]) for j in range(len(rows)) if j != k and rows[j][1] == year)[:3]
         assert [(t, pytest.approx(s, abs=1e-8)) for t, s in got[name, year]] == [(t, -s) for s, t in want]
-    report = typology.twin_block_report(data, 3, 16).collect()
+    report = typology.twin_block_report(data, 3, 64).collect()
     assert len(report) == 2 and all(r.met < 0.6 * r.pairs for r in report), report
 
 
