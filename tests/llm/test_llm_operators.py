@@ -332,6 +332,62 @@ def test_licences(spark, none):
     assert licences.scan(none).count() == 0
 
 
+def test_byte_bpe_against_the_library(spark):
+    """Ids of 1500 random texts and a long one, cut at every safe place or not, are tiktoken's, and decode to the text."""
+    import base64
+
+    import tiktoken
+
+    with open(byte_bpe.RANKS, "rb") as file:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, file)}
+    library = tiktoken.Encoding("plain", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    rng = np.random.default_rng(11)
+    parts = ["a", "The", " house", "'s", "12", "3456", "  ", "\n", "\n\n ", "\t", "é", "ß", "Ж", "漢字", "🙂", "e\u0301", "...", "#!", "_x", "<|endoftext|>", "\u00a0", "\r\n"]
+    texts = ["".join(rng.choice(parts, rng.integers(0, 60))) for _ in range(1500)] + ["ab cd\n" * 50_000, "x" * 3000, ""]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for size in (1, 17, 1 << 16):
+        for r in byte_bpe.decode(byte_bpe.encode(rows, size=size)).collect():
+            ids = np.frombuffer(r.ids, "<u4").tolist()
+            assert ids == library.encode_ordinary(texts[r.doc_id]) and r.decoded.decode() == library.decode(ids) == texts[r.doc_id]
+
+
+def test_mixture_against_plain_em():
+    """Shares and likelihood are those of expectation-maximisation written over single n-grams; sets are nested by penalty."""
+    rng = np.random.default_rng(3)
+    p = langid.LangId()
+    for many in (2, 4):
+        prob = rng.dirichlet(np.full(50, 0.3), many) * 0.99 + 0.01 / 50
+        n = rng.multinomial(400, 0.6 * prob[0] + 0.4 * prob[1]).astype(float)
+        share = [1 / many] * many
+        for _ in range(p.rounds):
+            new = [0.0] * many
+            for g in range(50):
+                total = sum(share[k] * prob[k][g] for k in range(many))
+                for k in range(many):
+                    new[k] += n[g] * share[k] * prob[k][g] / total
+            share = [x / sum(new) for x in new]
+        like = sum(n[g] * math.log(sum(share[k] * prob[k][g] for k in range(many))) for g in range(50))
+        got, likely = langid.mixture(prob, n, p.rounds)
+        assert got == pytest.approx(share, abs=1e-12) and likely == pytest.approx(like)
+        own, at = langid.language_set(prob, n, p)
+        assert set(own) == {0, 1} and at.sum() == pytest.approx(1)
+        pure = rng.multinomial(400, prob[1]).astype(float)
+        assert langid.language_set(prob, pure, p)[0] == [1]
+
+
+def test_language_accuracy_on_documents(spark):
+    """Held-out documents; repeated rows, more columns and a long text give rows as they are."""
+    docs = spark.read.parquet(os.environ.get("LLM_SF_DIR", "/root/testdata/sf0.01") + "/documents.parquet").withColumn("held", langid.held_out("doc_id", 4))
+    model = langid.fit(docs.where("not held"))
+    found = langid.identify(docs.where("held"), model).join(docs.select("doc_id", "lang"), "doc_id").where("lang is not null and lang_pred <> 'und'")
+    right, all_rows = found.agg(F.count_if(F.col("lang") == F.col("lang_pred")), F.count("*")).first()
+    assert all_rows > 100 and right / all_rows >= 0.98
+    text = docs.where("lang is not null and length(text) > 500").select("text").first().text
+    rows = spark.createDataFrame([(1, text, 5.0), (1, text, 5.0), (2, text * 2000, 5.0), (None, text, 5.0)], "doc_id long, text string, score double")
+    got = langid.identify(rows, model).collect()
+    assert len(got) == 4 and len({r.lang_pred for r in got}) == 1 and all(0 < r.score <= 1 for r in got)
+
+
 @pytest.fixture(scope="module")
 def licence_model(spark):
     rows = [(k, f"some words about number {k} and more\nmany other words here {k * 7}") for k in range(60)]
