@@ -567,6 +567,22 @@ def test_lm_score_beats_its_base(spark):
         assert (part.score > part.base_score).mean() >= 0.9
 
 
+def test_lm_score_learns_from_no_sample(spark):
+    """Scores are those of constants that learn in each text, by tables of all training words; no part of the documents sets first weights."""
+    rng = np.random.default_rng(11)
+    rows = [(k, " ".join("".join(rng.choice(list("abcdef"), int(rng.integers(1, 7)))) for _ in range(300))) for k in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    p, learn = lm_score.Mixer(), F.col("doc_id") % 3 != 0
+    got = {r.doc_id: r.score for r in lm_score.score(docs, learn, p).collect()}
+    counts = lm_score.word_counts(docs.where(learn))
+    code, bits = lm_score.fit_code(counts, p), max(10, (4 * counts.count()).bit_length())
+    tables = (*lm_score.context_tables(counts, bits, code), code)
+    tables += lm_score.crossing_tables(docs.where(learn), tables, p)
+    given = docs.select("doc_id", "text", learn.alias("learn"), F.lit(None).cast("array<struct<at:int,passage:binary>>").alias("found")).toArrow().combine_chunks().to_batches()
+    want = {r["doc_id"]: r["score"] for b in lm_score.scored(iter(given), tables, np.zeros(0, np.uint64), np.zeros(0, np.int64), 1, p) for r in b.to_pylist()}
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], rel=1e-6) for k in want)
+
+
 def test_matches(spark):
     """A held-out copy follows its training copy; a training text alone never follows itself; partitions and parts don't matter."""
     rng = np.random.default_rng(8)
