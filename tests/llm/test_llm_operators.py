@@ -512,6 +512,25 @@ def test_code_trees_are_complete():
         assert len({tuple(code.outcome[code.first[k] : code.first[k] + code.depth[k]]) for k in leaves[leaves >= 0]}) == (leaves >= 0).sum(), tree
 
 
+def test_lengths_and_paths_of_a_code():
+    code = mixer.Code({0: {97: 5, 98: 1, 256: 2}, 98: {97: 3, 32: 9}})
+    tree, symbol = np.repeat(np.arange(3), 257), np.tile(np.arange(257), 3)
+    size = code.sizes(*code.leaves(tree, symbol))
+    assert (code.length[tree * 258 + symbol] == size).all() and [len(code.path(t, s)) for t, s in zip(tree, symbol, strict=True)] == size.tolist()
+
+
+def test_sent_sums_are_whole_and_small():
+    """What a task sends of its sums gives these again, in at most six bytes for each that isn't 0, most of them 0 themselves."""
+    rng = np.random.default_rng(0)
+    held = np.where(rng.random((2, 100_000)) < 0.1, rng.integers(1, 1 << 20, (2, 100_000)), 0).astype(np.float32)
+    sent = [r for b in lm_score._sent(held) for r in b.to_pylist()]
+    again = np.zeros((2, 1 << 17))
+    for r in sent:
+        for side, (k, x) in enumerate(zip(np.split(lm_score._numbers(r["slots"], 2), [r["zeros"]]), np.split(lm_score._numbers(r["n"], 4), [r["zeros"]]), strict=True)):
+            again[side, (r["chunk"] << 15) + np.cumsum(k)] += x
+    assert (again[:, :100_000] == held).all() and sum(len(r["slots"]) + len(r["n"]) for r in sent) <= 6 * (held > 0).sum()
+
+
 def test_mixture_beats_its_predictors(spark):
     """Bits per byte of held-out texts, mixed, and by each context alone."""
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
@@ -577,7 +596,7 @@ def test_lm_score_learns_from_no_sample(spark):
     counts = lm_score.word_counts(docs.where(learn))
     code, bits = lm_score.fit_code(counts, p), max(10, (4 * counts.count()).bit_length())
     tables = (*lm_score.context_tables(counts, bits, code), code)
-    tables += lm_score.crossing_tables(docs.where(learn), tables, p)
+    tables += (lm_score.crossing_tables(docs.where(learn), tables, p),)
     given = docs.select("doc_id", "text", learn.alias("learn"), F.lit(None).cast("array<struct<at:int,passage:binary>>").alias("found")).toArrow().combine_chunks().to_batches()
     want = {r["doc_id"]: r["score"] for b in lm_score.scored(iter(given), tables, np.zeros(0, np.uint64), np.zeros(0, np.int64), 1, p) for r in b.to_pylist()}
     assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], rel=1e-6) for k in want)
