@@ -15,7 +15,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tessella.llm import ann, byte_bpe, chat, langid, licences, lm_score, mixer, neardup, pack_documents, pack_matrix, quality
+from tessella.llm import ann, byte_bpe, chat, common, langid, licences, lm_score, mixer, neardup, pack_documents, pack_matrix, quality
 from tessella.llm.graph import connected_components
 from tessella.llm.packing import CapacityTree, best_fit_decreasing, plan_packing
 from tessella.llm.wordbpe import encoder
@@ -602,6 +602,47 @@ def test_lm_score_learns_from_no_sample(spark):
     assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], rel=1e-6) for k in want)
 
 
+def test_words_stay_laid_out_from_task_to_task(spark):
+    """Known words are laid out once a worker, others whenever they are met; scores don't depend on what is there already."""
+    rng = np.random.default_rng(12)
+    rows = [(k, " ".join("".join(rng.choice(list("abcd"), int(rng.integers(1, 6)))) for _ in range(400))) for k in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    counts, p = lm_score.word_counts(docs), lm_score.Mixer()
+    code = lm_score.fit_code(counts, p)
+    tables = (*lm_score.context_tables(counts, 14, code), code)
+    tables += (lm_score.crossing_tables(docs, tables, p),)
+    often = np.sort(np.array([r.word for r in counts.where("n > 20").collect()], np.int64).view(np.uint64))
+    worth = np.ones(len(often), np.int64)
+    given = docs.select("doc_id", "text", F.lit(True).alias("learn"), F.lit(None).cast("array<struct<at:int,passage:binary>>").alias("found")).toArrow().combine_chunks().to_batches()
+    score = lambda *cache: [(r["score"], r["top_known"], r["top_base"], r["rare"]) for b in lm_score.scored(iter(given), tables, often, worth, 9, p, *cache) for r in b.to_pylist()]
+    cache = lm_score.Words(tables[:3], often, np.log10((worth + 1) / 9), p.kept)
+    laid, lay = [], cache._lay
+    cache._lay = lambda words: (laid.append(len(words)), lay(words))
+    first, again = score(cache), score(cache)
+    assert first == again == score() and 0 < len(often) < counts.count() and len(laid) == 2 and laid[0] - laid[1] == len(often)
+    small = lm_score.Words(tables[:3], often, np.log10((worth + 1) / 9), 1)
+    assert score(small) == score(small) == first
+
+
+def test_word_hashes_by_a_plain_loop():
+    """Sums of keys by powers, for words longer than what is hashed together, runs of blanks, and texts that end within a word."""
+    rng = np.random.default_rng(4)
+    texts = [b"", b"a" * 40_000 + b" Bc  d", b"e", b" " * 40_000 + b"fG", *(bytes(rng.choice(list(b"aB z\n\xc3\xa9"), int(n))) for n in rng.integers(0, 60, 200))]
+    data, offsets = np.frombuffer(b"".join(texts), np.uint8), np.append(0, np.cumsum([len(t) for t in texts]))
+    hashes, many, first, size = common.word_places(data, offsets)
+    words = [[m for m in re.finditer(rb"[^ \t-\r]+", t)] for t in texts]
+    assert many.tolist() == [len(w) for w in words] and size.tolist() == [len(m[0]) for w in words for m in w]
+    assert first.tolist() == [int(o) + m.start() for o, w in zip(offsets, words, strict=False) for m in w]
+    want = []
+    for word in (m[0].lower() for w in words for m in w):
+        total, power = len(word), 1
+        for b in word:
+            power = power * int(common.STEP) % 2**64
+            total += int(common.BYTE_KEYS[b]) * power
+        want.append(total % 2**64)
+    assert (hashes == common.mix(np.array(want, np.uint64))).all()
+
+
 def test_matches(spark):
     """A held-out copy follows its training copy; a training text alone never follows itself; partitions and parts don't matter."""
     rng = np.random.default_rng(8)
