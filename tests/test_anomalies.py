@@ -57,6 +57,14 @@ def test_scores_are_those_of_plain_walks(spark, cloud, tmp_path):
     assert found["out"].is_anomaly and not found["in"].is_anomaly and found["out"].score < found["in"].score
 
 
+def test_scores_do_not_depend_on_the_order_of_trees(spark, cloud):
+    rows = cloud.where("year < 3").withColumn("g", F.lit(0).cast("long"))
+    forest = anomalies._forest(rows, 60, 64, 150, 42)
+    trees, kind = sorted(forest.collect(), key=lambda r: r.t), forest.schema
+    scores = [{(r.entity, r.year): r.raw for r in anomalies._raw_scores(rows, spark.createDataFrame(own, kind).coalesce(1)).collect()} for own in (trees, trees[::-1])]
+    assert scores[0] == scores[1]
+
+
 def test_union_and_predictions(spark, cloud):
     outliers = anomalies.spatial_outliers(cloud.where("year = 1"), trees=10)
     breaks = spark.createDataFrame([("a", 1, 2001, 3.0), ("b", 1, 2001, 9.0)], "entity string, metric_id long, year long, score double")
