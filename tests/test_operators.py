@@ -172,6 +172,45 @@ def test_adjacency_with_hot_vertices(spark):
     assert got == want
 
 
+def shuffled_rows(df):
+    """Rows that the last action on ``df`` wrote to shuffles."""
+    todo, total = [df._jdf.queryExecution().executedPlan()], 0
+    while todo:
+        node = todo.pop()
+        kind = node.getClass().getSimpleName()
+        if kind == "AdaptiveSparkPlanExec":
+            todo.append(node.executedPlan())
+        elif kind.endswith("QueryStageExec"):
+            todo.append(node.plan())
+        else:
+            if kind == "ShuffleExchangeExec":
+                total += node.metrics().apply("shuffleRecordsWritten").value()
+            children = node.children()
+            todo += [children.apply(k) for k in range(children.size())]
+    return total
+
+
+@pytest.mark.parametrize("least,block", [(1, 4096), (2, 4096), (2, 37), (3, 37), (4, 100)])
+def test_adjacency_against_counts(spark, least, block):
+    """Common and rare vertices, with numbers as entities: pairs by plain counts of shared vertices."""
+    rng = np.random.default_rng(least)
+    share = np.concatenate([rng.uniform(0, 0.3, 12), [0.9, 1.0], np.full(60, 0.008)])
+    has = rng.random((250, len(share))) < share
+    rows = [(1000 - 3 * int(e), f"v{v}") for e, v in zip(*np.nonzero(has), strict=True)]
+    common = has.astype(int) @ has.T.astype(int)
+    want = {(1000 - 3 * a, 1000 - 3 * b) for a in range(250) for b in range(250) if a != b and common[a, b] >= least}
+    got = [(r.src, r.dst) for r in spatial.build_adjacency(spark.createDataFrame(rows + rows[:50], "entity long, vertex string"), least, block).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_adjacency_shuffles_no_pairs(spark):
+    """400 entities that all share vertices: of 159,600 rows found none is shuffled, only members are."""
+    rows = [(e, v) for e in range(400) for v in range(20) if (e + v) % 3]
+    found = spatial.build_adjacency(spark.createDataFrame(rows, "entity long, vertex long"))
+    assert len(found.collect()) == 400 * 399
+    assert shuffled_rows(found) < 1000
+
+
 def test_twins_pruned_by_bounds(spark):
     """Groups of like profiles: most block pairs are left out and the twins are those of a plain loop; so with opposite, equal and zero ones."""
     rng = np.random.default_rng(5)
