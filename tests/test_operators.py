@@ -246,6 +246,33 @@ def test_twins_with_ties_and_zero_profiles(spark):
     assert "alone" not in got
 
 
+@pytest.mark.parametrize("group,single", [(1 << 25, True), (600, True), (600, False)])
+def test_twins_in_tiles(spark, group, single):
+    """Small groups, so that an entity's twins come from many tiles; equal profiles and zero ones; single and double precision."""
+    rng = np.random.default_rng(11)
+    x = rng.integers(-2, 3, (150, 3)).astype(float) if single else rng.normal(size=(150, 3))
+    x[40:44] = x[0]
+    rows = [(f"e{k:03d}", 2000 + k % 2, v.tolist()) for k, v in enumerate(x)]
+    found = typology.twins(spark.createDataFrame(rows, "entity string, year int, profile array<double>"), 5, 8, 1024, group)
+    got: dict = {}
+    for r in found.orderBy("entity", "rank").collect():
+        got.setdefault(r.entity, []).append((r.twin, r.similarity))
+    norm = np.linalg.norm(x, axis=1, keepdims=True)
+    unit = x / np.where(norm == 0, 1, norm)
+    sim = np.round(unit @ unit.T, 8) + 0.0
+    for k, (name, year, _) in enumerate(rows):
+        want = sorted((-sim[k, j], rows[j][0]) for j in range(len(rows)) if j != k and rows[j][1] == year)[:5]
+        assert [(t, pytest.approx(s, abs=1e-8)) for t, s in got[name]] == [(t, -s) for s, t in want]
+
+
+def test_twins_shuffle_a_block_once_a_group(spark):
+    """2000 profiles in some 250 blocks: rows shuffled are those of groups and of their best, not of pairs of blocks."""
+    x = np.random.default_rng(3).normal(size=(2000, 8))
+    found = typology.twins(spark.createDataFrame([(f"e{k:04d}", 1, v.tolist()) for k, v in enumerate(x)], "entity string, year int, profile array<double>"), 5, 32)
+    assert len(found.collect()) == 10_000
+    assert shuffled_rows(found) < 80_000
+
+
 def test_saved_typology_model(spark, tmp_path):
     rng = np.random.default_rng(7)
     profiles = {(f"e{i:02d}", y): np.array([6.0 * (i % 2), 1.0, -6.0 * (i % 2)]) + rng.normal(size=3) for i in range(30) for y in (1, 2)}
